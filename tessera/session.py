@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +53,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless they find it on their path as the driver does."""
+    home = Path(__file__).resolve().parent
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    sc = spark.sparkContext
+    if str(home.parent) in known or getattr(sc, "_tessera_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{folder}/tessera", "zip", home.parent, home.name))
+    sc._tessera_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts fit into a Python worker."""
+    """Makes Python workers ready: the package, and few rows in an Arrow batch, so that long texts fit."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
