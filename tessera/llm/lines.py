@@ -44,6 +44,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         by_doc = rows.groupBy("h", "g", "doc_id").agg(F.lit(1).alias("one"))
         shared = by_doc.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
         shared = shared.where(F.col("n") >= min_docs).drop("n")
+    shared = cut(shared)  # both sides of the join are then shuffled for it, and a hot line's partition can be split
     dropped = (
         rows.join(shared, ["h", "g"])
         .where("doc_id <> first")
