@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, small_batches
 
 #: Most vectors and queries of a unit.
 UNIT_ROWS, UNIT_QUERIES = 50_000, 256
@@ -128,6 +128,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int =
     pivots: the most cells of the data; the pivots are a sample by hash of the distinct vectors.
     """
     spark = vectors.sparkSession
+    small_batches(spark, 4096)
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     every = integer_vectors(vectors)
     longest = every.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import knn, lines, mixing, simhash, text, tokens, warc
+from tessera.llm import knn, lines, mixing, pieces, quality_rules, simhash, site_quality, text, tokens, toxicity, warc
 from tessera.session import fresh_path, table
 
 
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.reject_outliers(table(spark, sf_dir, "documents"))
+
+
 def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -40,16 +44,43 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, teaches=~held_out))
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, model, key="doc_id", alpha=1.0, seed=11), model)
+    return back.select(
+        "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10, min_docs=2)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdict.select("doc_id", "evidence", "site_rate", "quality", "kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), k=3, words=1, radius=2, blocks=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_knn, op4_tokens, op5_warc, op8_lines, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_quality_rules, op3_knn, op4_tokens, op5_warc, op6_toxicity, op7_pieces, op8_lines, op9_site_quality, op10_simhash)
+}
 
 ORACLE_SQL: dict[str, str] = {}

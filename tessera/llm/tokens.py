@@ -261,6 +261,7 @@ class TokenFile:
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document of the manifest's files."""
+    small_batches(manifest.sparkSession)
     place = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(place), F.lit(0)))
     files = files.select("file", "start").repartition(partitions(manifest.sparkSession), "file")

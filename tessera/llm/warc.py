@@ -137,6 +137,7 @@ def _parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the archives (file), gzipped or plain: RECORD. Digests are those of the payloads read;
     a revisit, which has none, keeps the one that its header gives."""
+    small_batches(files.sparkSession)
     spec = files.select("file").repartition(partitions(files.sparkSession), "file")
     names = [x.split()[0] for x in RECORD.split(", ")]
     schema = pa.schema(list(zip(names, [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()])))
