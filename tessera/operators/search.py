@@ -1,7 +1,8 @@
 """Full-text and hybrid search: postings, BM25, phrases, proximity, fusion, reranking, differences.
 
 A corpus has doc_ref and text. Counts of documents and their mean length are of the whole corpus. A
-document's length is the position of its last term plus one. Ties go to the smaller doc_ref.
+document's length is the position of its last term plus one. Scores are rounded to nine decimals, so
+that the order of summing makes no difference, and ties go to the smaller doc_ref.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ def stem_table(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().withColumn("stem", stems("term"))
 
 
+def _one_of(terms: list[str]):
+    return lambda w: w["term"].isin(terms) if terms else F.lit(False)
+
+
 def match(corpus: DataFrame, query: analysis.Query, stem: bool = False) -> DataFrame:
     """Documents with a query term: dl, tf<i>, p<i> (positions) of each term, and n_docs, avgdl, df<i> of the corpus.
 
@@ -57,7 +62,7 @@ def match(corpus: DataFrame, query: analysis.Query, stem: bool = False) -> DataF
         member = {t: [t] for t in terms}
     cols = []
     for i, t in enumerate(terms):
-        hit = F.filter("w", lambda x, names=member[t]: x["term"].isin(names) if names else F.lit(False))
+        hit = F.filter("w", _one_of(member[t]))
         cols.append(F.transform(hit, lambda x: x["pos"]).alias(f"p{i}"))
     rows = rows.select("doc_ref", (F.array_max(F.transform("w", lambda x: x["pos"])) + 1).alias("dl"), *cols)
     rows = rows.where("dl IS NOT NULL").select("*", *(F.size(f"p{i}").alias(f"tf{i}") for i in range(len(terms))))
@@ -141,7 +146,7 @@ def bm25(
         if proximity:
             near = weight * F.pow(F.col("look.present") / F.lit(float(n)), 2) / (1 + F.col("look.span") / float(window))
             rows = rows.withColumn("score", F.col("score") + F.when(F.col("look.present") > 1, near).otherwise(0.0))
-    return ranked(rows.select("doc_ref", "score"), k)
+    return ranked(rows.select("doc_ref", F.round("score", 9).alias("score")), k)
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
