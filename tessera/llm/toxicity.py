@@ -33,7 +33,13 @@ ENTRIES, LEAST_TEXTS, LEAST_ODDS = 400, 6, 2.0
 #: Characters of the beginnings that stand for families of words.
 HEADS = (5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"(?=\w*[^\W\d_])(?=\w*\d)\w+|[^\W\d_]+[*@$!#][^\W\d_]+|(\w)\1{3,}|\b(?:[^\W\d_][ .\-*]){3,}[^\W\d_]\b")
+#: Obfuscations: digits or signs among letters, long runs of a character, letters set apart.
+_DIGITS = re.compile(r"[^\W\d_]+\d\w*|\d+[^\W\d_]\w*")
+_SIGNS = re.compile(r"[^\W\d_]+(?:[*@$!#]+[^\W\d_]+)+")
+_RUNS = re.compile(r"(\w)\1\1\1+")
+_APART = re.compile(r"\b[^\W\d_](?:[ .\-*][^\W\d_]){3,}\b")
+_DIGIT, _SIGN = re.compile(r"\d"), frozenset("*@$!#")
+_CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]+")
 #: Words of the second person in English, German, French and Spanish, and look-alike characters.
 YOU = frozenset("you your yours yourself ye u du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo tus vosotros vuestro".split())
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
@@ -87,7 +93,7 @@ def features_of(text: str | None, lexicon: dict[str, float]) -> list[float]:
     hits = {w: c for w in count.keys() & lexicon.keys() for c in [count[w]]}
     families = {h: c for h in heads for c in [heads[h]] if c > 1 and "^" + h in lexicon}
     total, kinds = sum(hits.values()), sum(families.values())
-    odds = sum(lexicon[w] for w in hits) + sum(lexicon["^" + h] for h in families)
+    odds = round(sum(lexicon[w] for w in hits) + sum(lexicon["^" + h] for h in families), 6)
     near = 0
     you = [i for i, w in enumerate(words) if w in YOU] if hits else []
     if you:
@@ -97,12 +103,15 @@ def features_of(text: str | None, lexicon: dict[str, float]) -> list[float]:
         near = int((np.minimum(at - spots[to], spots[to + 1] - at) <= 5).sum())
     n_you = sum(count[w] for w in count.keys() & YOU)
     hidden = 0
-    mixed = [m[0] for m in _MIXED.finditer(text)]
+    mixed = _DIGITS.findall(text) if _DIGIT.search(text) else []
+    if not _SIGN.isdisjoint(text):
+        mixed += _SIGNS.findall(text)
+    mixed += [m[0] for m in _RUNS.finditer(text)] + _APART.findall(text)
     for m in mixed:
         plain = re.sub(r"[^\w]", "", m.lower().translate(LOOKALIKES))
         hidden += plain in lexicon and m.lower() not in hits
-    capitals = sum(map(str.isupper, text))
-    loud = sum(1 for w in text.split() if len(w) > 2 and w.isupper())
+    runs = list(map(len, _CAPITAL.findall(text)))
+    capitals, loud = sum(runs), sum(r > 2 for r in runs)
     marks, bangs = sum(map(text.count, ".,;:!?\"'()")), text.count("!") + text.count("?")
     return [
         total, 100 * total / n, len(hits), max(families.values(), default=0), 100 * kinds / n, len(families), near, 100 * near / n,
@@ -189,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, label: str = "toxic
     small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & teaches).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows that share a doc_id the smallest text teaches.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y", "part").agg(F.min("text").alias("text"))
     lexicon = learn_lexicon(rows.where("part < 2").select("text", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
