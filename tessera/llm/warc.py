@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -145,7 +146,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
     def rows(file: str) -> Iterator[tuple]:
         fs, path = pafs.FileSystem.from_uri(file)
         with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as raw:
-            for head, block in _parse(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw):
+            for head, block in _parse(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)):
                 kind, payload, fields = head.get("warc-type"), block, None
                 if head.get("content-type", "").startswith("application/http"):
                     payload = block.partition(b"\r\n\r\n")[2]
@@ -185,7 +186,8 @@ def assemble(records: DataFrame) -> DataFrame:
     requests = records.where("kind = 'request'").withColumn("anchor", F.col("concurrent_to"))
     about = records.where("kind = 'metadata'")
     via = requests.select(F.col("record_id").alias("concurrent_to"), F.col("anchor").alias("by_request"))
-    about = about.join(via, "concurrent_to", "left").withColumn("anchor", F.coalesce("by_request", "concurrent_to"))
+    # Sizes after Python are guesses from the list of files; merge hints keep those guesses from choosing a broadcast.
+    about = about.join(via.hint("merge"), "concurrent_to", "left").withColumn("anchor", F.coalesce("by_request", "concurrent_to"))
     whole = F.struct("record_id", "kind", "target_uri", "payload_bytes", "payload_digest", "refers_to", "payload")
     fields = F.struct("record_id", F.map_entries("fields").alias("fields"))
 
@@ -193,7 +195,9 @@ def assemble(records: DataFrame) -> DataFrame:
         return df.where("anchor IS NOT NULL").groupBy("anchor").agg(F.min_by(value, "record_id").alias(name))
 
     joined = (
-        one(answers, whole, "response").join(one(requests, whole, "request"), "anchor", "left").join(one(about, fields, "m"), "anchor", "left")
+        one(answers, whole, "response")
+        .join(one(requests, whole, "request").hint("merge"), "anchor", "left")
+        .join(one(about, fields, "m").hint("merge"), "anchor", "left")
     )
     metadata = F.struct(F.col("m.record_id").alias("record_id"), F.map_from_entries("m.fields").alias("fields"))
     return joined.select(F.col("anchor").alias("capture_id"), "request", "response", F.when(F.col("m").isNotNull(), metadata).alias("metadata"))
