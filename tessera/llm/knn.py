@@ -37,7 +37,7 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     slim = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     good = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * 256) < LIMIT))
     slim = slim.where(good & (F.size("embedding") > 0))
-    v = F.transform("embedding", lambda e: F.floor(e.cast("double") * 256).cast("int"))
+    v = F.transform("embedding", lambda e: F.floor(e.cast("double") * 256).try_cast("int"))
     return slim.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
 
 
