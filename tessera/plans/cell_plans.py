@@ -47,7 +47,7 @@ def kv_history(spark, sf_dir):
     return cells.history(kv_cells(spark, sf_dir)).select("key", "version", "is_tombstone", "age_rank")
 
 
-@query(f"{S} SELECT key, version, true AS has_more FROM s WHERE key LIKE 'user:1%' AND key > 'user:10' ORDER BY key LIMIT 4")
+@query(f"{S} SELECT key, version, count(*) OVER () > 4 AS has_more FROM s WHERE key LIKE 'user:1%' AND key > 'user:10' ORDER BY key LIMIT 4")
 def kv_prefix_page(spark, sf_dir):
     return cells.page(cells.snapshot(kv_cells(spark, sf_dir)), 4, "user:1", "user:10").select("key", "version", "has_more")
 
