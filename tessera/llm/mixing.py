@@ -27,6 +27,12 @@ KEY = ["__null", "__source"]
 CELL = [*KEY, "__class", "__slice"]
 
 
+def _random(*parts: Column) -> Column:
+    """An integer below 2**32 that depends on the parts' text alone; nulls are empty."""
+    text = F.concat(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """Adds target to sizes(__null, __source, source_size), one row a source.
 
@@ -67,14 +73,14 @@ def mix(
         docs.withColumn("__size", F.coalesce(size, F.lit(0)).cast("bigint"))
         .withColumn("__null", F.col("source").isNull())
         .withColumn("__source", F.coalesce("source", F.lit("")))
-        .withColumn("__class", F.floor(2 * F.log2(F.col("__size") + 1)))
-        .withColumn("__slice", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(slices)))
+        .withColumn("__class", F.length(F.bin("__size")))
+        .withColumn("__slice", _random(F.lit(f"{seed}:"), F.col("doc_id")) % slices)
     )
     cells = cut(dealt.groupBy(*CELL).agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum")))
     sizes = cells.groupBy(*KEY).agg(F.sum("__sum").alias("source_size"))
     places = Window.partitionBy(*KEY).orderBy("__class", "__slice").rowsBetween(Window.unboundedPreceding, -1)
     # A multiple of 2**-20, so that sums of whole copies stay exact.
-    offset = F.pmod(F.xxhash64(F.lit(seed + 1), "__null", "__source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    offset = (_random(F.lit(f"{seed}:"), F.col("__null"), F.lit(":"), F.col("__source")) % (1 << 20)) / F.lit(float(1 << 20))
     starts = (
         cells.withColumn("__start", F.coalesce(F.sum("__n").over(places), F.lit(0)))
         .join(targets(sizes, weights, share, cap), KEY)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import knn, lines, mixing, pieces, quality_rules, simhash, site_quality, text, tokens, toxicity, warc
+from tessera.llm import knn, lines, mixing, pieces, quality_rules, quality_sql, simhash, site_quality, text, tokens, toxicity, warc
 from tessera.session import fresh_path, table
 
 
@@ -83,4 +83,35 @@ QUERIES = {
     for f in (op1_mixing, op2_quality_rules, op3_knn, op4_tokens, op5_warc, op6_toxicity, op7_pieces, op8_lines, op9_site_quality, op10_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The mix in SQL: sizes, the level of the targets, cells of (source, octave of sizes, slice), and each document's place.
+_OP1 = """WITH d AS (SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS u, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+x AS (SELECT *, length(bin(size)) AS oct, ('0x' || md5('17:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % (SELECT least(4096, greatest(64, count(*) // 2000)) FROM documents) AS slice FROM d),
+z AS (SELECT u, s, sum(size)::BIGINT AS source_size FROM x GROUP BY 1, 2),
+w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, CASE (row_number() OVER (ORDER BY u, s) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS w FROM z),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+  - coalesce(sum(cap) OVER (ORDER BY cap / w, u, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, u, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT u, s, source_size, least(cap, (max(level) OVER ()) * w) AS target,
+  ('0x' || md5('17:' || u || ':' || s)[1:8])::BIGINT % 1048576 / 1048576.0::DOUBLE AS o FROM l),
+p AS (SELECT x.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, o,
+  row_number() OVER (PARTITION BY x.u, x.s ORDER BY oct, slice, size, doc_id) AS place FROM x JOIN t ON x.u = t.u AND x.s = t.s)
+SELECT doc_id, size, source_size, target, size * least(floor(rate * place + o) - floor(rate * (place - 1) + o), ceil(rate))::BIGINT AS taken FROM p"""
+
+_OP3 = """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+_OP5 = """WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, strlen(b) AS payload_bytes, d AS payload_digest, CASE WHEN strlen(b) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(b) >= 100 AND page_id > first THEN first END AS refers_to FROM f"""
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_OP8 = f"""WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM a),
+k AS (SELECT *, translate(trim(line, {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, s.key IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN s ON k.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_quality_rules": quality_sql.sql(), "op3_knn": _OP3, "op5_warc": _OP5, "op8_lines": _OP8}
