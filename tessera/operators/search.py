@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import analysis
-from tessera.session import ship
+from tessera.session import cut, ship
 
 K1, B, RRF_K = 0.9, 0.4, 60
 
@@ -66,6 +66,7 @@ def match(corpus: DataFrame, query: analysis.Query, stem: bool = False) -> DataF
         cols.append(F.transform(hit, lambda x: x["pos"]).alias(f"p{i}"))
     rows = rows.select("doc_ref", (F.array_max(F.transform("w", lambda x: x["pos"])) + 1).alias("dl"), *cols)
     rows = rows.where("dl IS NOT NULL").select("*", *(F.size(f"p{i}").alias(f"tf{i}") for i in range(len(terms))))
+    rows = cut(rows)  # a few numbers a document; the texts are split into words once
     figures = rows.agg(
         F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms)))
     )

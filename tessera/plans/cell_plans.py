@@ -34,12 +34,12 @@ WHERE rn = 1 AND NOT is_tombstone AND (ttl_ms IS NULL OR {T_US} - ts_us < ttl_ms
 
 @query(f"{_AS_OF} SELECT key, version, value FROM s")
 def kv_as_of(spark, sf_dir):
-    return cells.as_of(kv_cells(spark, sf_dir), T_US).select("key", "version", "value")
+    return cells.as_of(kv_cells(spark, sf_dir, T_US), T_US).select("key", "version", "value")
 
 
 @query(f"{_AS_OF} SELECT count(*) AS n, count(ttl_ms) AS with_ttl FROM s")
 def kv_ttl_as_of(spark, sf_dir):
-    return cells.as_of(kv_cells(spark, sf_dir), T_US).agg(F.count("*").alias("n"), F.count("ttl_ms").alias("with_ttl"))
+    return cells.as_of(kv_cells(spark, sf_dir, T_US), T_US).agg(F.count("*").alias("n"), F.count("ttl_ms").alias("with_ttl"))
 
 
 @query(f"{W} SELECT key, version, is_tombstone, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS age_rank FROM c")
@@ -122,7 +122,7 @@ def event_range_reverse(spark, sf_dir):
 
 @query(f"{E} SELECT seq, event_type, ts_us FROM e WHERE ts_us BETWEEN {T_US} AND {T_US + 172_800_000_000}")
 def event_range_by_time(spark, sf_dir):
-    return events.by_time(event_log(spark, sf_dir), T_US, T_US + 172_800_000_000).select("seq", "event_type", "ts_us")
+    return events.by_time(event_log(spark, sf_dir, T_US, T_US + 172_800_000_000), T_US, T_US + 172_800_000_000).select("seq", "event_type", "ts_us")
 
 
 @query(f"{E} SELECT seq, payload FROM e WHERE event_type = 'purchase' AND seq > 50 ORDER BY seq LIMIT 20")
@@ -132,12 +132,12 @@ def event_by_type_after(spark, sf_dir):
 
 @query(f"{E} SELECT count(*) AS n FROM e WHERE ts_us <= {T_US}")
 def event_len_as_of(spark, sf_dir):
-    return events.length(event_log(spark, sf_dir), T_US)
+    return events.length(event_log(spark, sf_dir, until_us=T_US), T_US)
 
 
 @query(f"{E} SELECT DISTINCT event_type FROM e WHERE ts_us <= {T_US}")
 def event_types_as_of(spark, sf_dir):
-    return events.types(event_log(spark, sf_dir), T_US)
+    return events.types(event_log(spark, sf_dir, until_us=T_US), T_US)
 
 
 @query(f"{E} SELECT event_type, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, arg_min(ts_us, seq) AS first_us, arg_max(ts_us, seq) AS last_us FROM e GROUP BY 1")

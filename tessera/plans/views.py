@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,21 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def kv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as versions of a key for each user; errors are tombstones, views live for six hours."""
+def at(us: int) -> Column:
+    """A time as the tables' own column type has it, so that the comparison reaches the Parquet reader."""
+    text = f"{datetime.fromtimestamp(us // 1_000_000, UTC):%Y-%m-%d %H:%M:%S}.{us % 1_000_000:06d}"
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def events_between(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
     e = table(spark, sf_dir, "events")
+    e = e if since_us is None else e.where(F.col("ts") >= at(since_us))
+    return e if until_us is None else e.where(F.col("ts") <= at(until_us))
+
+
+def kv_cells(spark: SparkSession, sf_dir: str, until_us: int | None = None) -> DataFrame:
+    """The events as versions of a key for each user; errors are tombstones, views live for six hours."""
+    e = events_between(spark, sf_dir, until_us=until_us)
     return e.select(
         F.lit("main").alias("branch"), F.lit("default").alias("space"), F.lit("kv").alias("type_tag"),
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("version"), micros("ts").alias("ts_us"),
@@ -36,8 +50,8 @@ c AS (SELECT 'main' AS branch, 'default' AS space, 'kv' AS type_tag, 'user:' ||
 LATEST_SQL = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM c) WHERE rn = 1 AND NOT is_tombstone)"
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def event_log(spark: SparkSession, sf_dir: str, since_us: int | None = None, until_us: int | None = None) -> DataFrame:
+    e = events_between(spark, sf_dir, since_us, until_us)
     payload = F.concat(F.lit('{"props":'), F.col("props"), F.lit(',"user_id":'), F.col("user_id").cast("string"), F.lit("}"))
     return e.select(
         F.lit("main").alias("branch"), F.lit("default").alias("space"), F.col("event_id").alias("seq"), "event_type", payload.alias("payload"), micros("ts").alias("ts_us")
