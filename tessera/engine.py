@@ -46,10 +46,16 @@ def command_name(method: str) -> str:
 
 
 class Engine:
-    """A database under `root`. clock gives microseconds; embedder turns texts into vectors, where one is wanted."""
-
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None):
+    """A database under `root`. clock gives microseconds. Models are functions that the caller gives: embedder (texts to
+    vectors), expander (a query to lines of other queries), reranker (a query and texts to lines of ratings), generator
+    (a prompt to an answer)."""
+
+    def __init__(
+        self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None,
+        expander: Callable[[str], str] | None = None, reranker: Callable[[str, list[str]], str] | None = None, generator: Callable[[str], str] | None = None,
+    ):
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder
+        self.expander, self.reranker, self.generator = expander, reranker, generator
         self.clock = clock or (lambda: time.time_ns() // 1000)
         self.branch, self.space = MAIN, "default"
         self.settings: dict[str, str] = {}
@@ -78,16 +84,24 @@ class Engine:
             raise
 
     def _append(self, rows: list[tuple]) -> int:
-        """Appends (branch, space, type, key, value or None, is_tombstone, ttl_ms, json) rows as one commit."""
+        """Appends (branch, space, type, key, value or None, is_tombstone, ttl_ms, json) rows as one commit.
+
+        Within a transaction the rows wait for its commit, but for those of the system branch."""
+        if self._txn is not None and rows[0][0] != SYSTEM:
+            self._txn["rows"].update({r[:4]: r for r in rows})
+            return self._head
         self._head += 1
-        now = self.clock()
-        out = []
-        for branch, space, tag, key, value, dead, ttl, doc in rows:
-            kind, text = (("json", jsonpath.canonical(doc)) if doc is not None else (None, None)) if value is None and tag != "kv" else values.encode(value)
-            out.append((branch, space, tag, key, self._head, now, dead, ttl, None if dead else kind, None if dead else text))
+        out = self._cells(rows, self._head)
         self.spark.createDataFrame(out, cells.SCHEMA).coalesce(1).write.mode("append").partitionBy("type_tag").parquet(f"{self.root}/cells")
         return self._head
 
+    def _cells(self, rows: list[tuple], version: int) -> list[tuple]:
+        now, out = self.clock(), []
+        for branch, space, tag, key, value, dead, ttl, doc in rows:
+            kind, text = (("json", jsonpath.canonical(doc)) if doc is not None else (None, None)) if value is None and tag != "kv" else values.encode(value)
+            out.append((branch, space, tag, key, version, now, dead, ttl, None if dead else kind, None if dead else text))
+        return out
+
     def _branch_row(self, name: str) -> dict | None:
         row = cells.snapshot(self._raw().where((F.col("type_tag") == "branch") & (F.col("key") == name))).first()
         return json.loads(row["value"]) if row else None
@@ -111,11 +125,30 @@ class Engine:
     def frame(self, tag: str, as_of: int | None = None, branch: str | None = None, space: str | None = None) -> DataFrame:
         """The visible cells of a type in a space, now or at a time."""
         log = self._log(tag, branch).where(F.col("space") == (space or self.space))
-        return cells.as_of(log, as_of) if as_of is not None else cells.snapshot(log, now_us=self.clock())
+        if as_of is not None:
+            return cells.as_of(log, as_of)
+        if self._txn is None:
+            return cells.snapshot(log, now_us=self.clock())
+        shown = cells.snapshot(log, self._txn["at"], self.clock())
+        mine = [r for r in self._txn["rows"].values() if r[:3] == (branch or self.branch, space or self.space, tag)]
+        if not mine:
+            return shown
+        own = self.spark.createDataFrame(self._cells(mine, self._txn["at"] + 1), cells.SCHEMA)
+        return cells.overlay(shown, own.where("NOT is_tombstone"), own.where("is_tombstone"))
 
     def _one(self, tag: str, key: str, as_of: int | None = None):
         log = self._log(tag).where((F.col("space") == self.space) & (F.col("key") == key))
-        return (cells.as_of(log, as_of) if as_of is not None else cells.snapshot(log, now_us=self.clock())).first()
+        if as_of is not None:
+            return cells.as_of(log, as_of).first()
+        if self._txn is None:
+            return cells.snapshot(log, now_us=self.clock()).first()
+        name = (self.branch, self.space, tag, key)
+        if (own := self._txn["rows"].get(name)) is not None:
+            names = [f.split()[0] for f in cells.SCHEMA.split(", ")]
+            return None if own[5] else dict(zip(names, self._cells([own], self._txn["at"] + 1)[0]))
+        row = cells.snapshot(log, self._txn["at"], self.clock()).first()
+        self._txn["reads"].setdefault(name, row["version"] if row else 0)
+        return row
 
     def _doc(self, tag: str, key: str, as_of: int | None = None):
         row = self._one(tag, key, as_of)
@@ -141,26 +174,14 @@ class Engine:
     def kv_put(self, key: str, value, ttl_ms: int | None = None) -> int:
         values.check_key(key)
         values.check(value)
-        if self._txn is not None:
-            self._txn["writes"][("kv", key)] = value
-            return self._head
         return self._append([(self.branch, self.space, "kv", key, value, False, ttl_ms, None)])
 
     def kv_get(self, key: str, as_of: int | None = None) -> dict | None:
-        if self._txn is not None and as_of is None:
-            if ("kv", key) in self._txn["writes"]:
-                value = self._txn["writes"][("kv", key)]
-                return None if value is self else {"value": value, "version": 0, "timestamp": self.clock()}
-            row = cells.snapshot(self._log("kv").where((F.col("space") == self.space) & (F.col("key") == key)), version=self._txn["at"], now_us=self.clock()).first()
-            self._txn["reads"][("kv", key)] = row["version"] if row else 0
-            return self._versioned(row)
         return self._versioned(self._one("kv", key, as_of))
 
     def kv_delete(self, key: str) -> bool:
         there = self.kv_get(key) is not None
-        if self._txn is not None:
-            self._txn["writes"][("kv", key)] = self
-        elif there:
+        if there:
             self._kill("kv", [key])
         return there
 
@@ -572,6 +593,7 @@ class Engine:
 
     def _commit_actions(self, target: str, actions: DataFrame) -> int:
         """Appends the actions as one commit, without gathering them."""
+        self._no_txn()
         self._head += 1
         kind = F.when(F.col("type_tag") == "kv", F.when(F.col("value").startswith('"'), "string").when(F.col("value").startswith("{"), "object").when(F.col("value").startswith("["), "array").when(F.col("value").isin("true", "false"), "bool").when(F.col("value") == "null", "null").when(F.col("value").rlike("^-?[0-9]+$"), "int").otherwise("float")).otherwise("json")
         dead = F.col("action") == "delete"
@@ -697,7 +719,8 @@ class Engine:
     def note_delete(self, version: int) -> bool:
         return self._system_delete("note", f"{self.branch}/{version:020d}")
 
-    # Transactions over key-value cells
+    # Transactions: reads see the snapshot and the transaction's own writes. Reads at a time pass it by. What needs
+    # whole tables (merges, imports, graph deletion) and what the system branch holds is not part of it.
 
     def _no_txn(self) -> None:
         if self._txn is not None:
@@ -706,21 +729,21 @@ class Engine:
     def txn_begin(self, options: dict | None = None) -> None:
         if self._txn is not None:
             raise TransactionState("a transaction is open already")
-        self._txn = {"at": self._head, "writes": {}, "reads": {}, "id": str(uuid.uuid4())}
+        self._txn = {"at": self._head, "rows": {}, "reads": {}, "id": str(uuid.uuid4())}
 
     def txn_commit(self) -> int:
+        """First committer wins: a key that was read and has another version by now aborts. Keys only written never do."""
         if self._txn is None:
             raise TransactionState("no transaction is open")
         txn, self._txn = self._txn, None
-        if not txn["writes"]:
+        if not txn["rows"]:
             return self._head
         if txn["reads"]:
-            rows = [(self.branch, self.space, tag, key, v) for (tag, key), v in txn["reads"].items()]
-            seen = self.spark.createDataFrame(rows, "branch string, space string, type_tag string, key string, seen_version long")
-            live = cells.snapshot(self._log("kv"))
-            if not cells.read_conflicts(seen, live).isEmpty():
-                raise Conflict("what the transaction read has changed")
-        return self._append([(self.branch, self.space, tag, key, None if v is self else v, v is self, None, None) for (tag, key), v in txn["writes"].items()])
+            seen = self.spark.createDataFrame([(*name, v) for name, v in txn["reads"].items()], "branch string, space string, type_tag string, key string, seen_version long")
+            for tag in {name[2] for name in txn["reads"]}:
+                if not cells.read_conflicts(seen.where(F.col("type_tag") == tag), cells.snapshot(self._log(tag))).isEmpty():
+                    raise Conflict("what the transaction read has changed")
+        return self._append(list(txn["rows"].values()))
 
     def txn_rollback(self) -> None:
         if self._txn is None:
@@ -728,7 +751,7 @@ class Engine:
         self._txn = None
 
     def txn_info(self) -> dict | None:
-        return None if self._txn is None else {"id": self._txn["id"], "snapshot": self._txn["at"], "writes": len(self._txn["writes"])}
+        return None if self._txn is None else {"id": self._txn["id"], "snapshot": self._txn["at"], "writes": len(self._txn["rows"])}
 
     def txn_is_active(self) -> bool:
         return self._txn is not None
@@ -849,21 +872,87 @@ class Engine:
         nodes = self.frame("node", as_of).select(F.concat(F.lit("graph:"), "key").alias("doc_ref"), F.concat_ws(" ", F.substring_index("key", "/", -1), F.col("value")).alias("text"))
         return kv.unionByName(docs).unionByName(log).unionByName(nodes)
 
-    def search(self, query: str, recipe: str = "keyword", k: int = 10, as_of: int | None = None, collection: str | None = None) -> list[dict]:
+    def _lists(self, query: str, plan: dict, weight: float, as_of: int | None, collection: str | None, kinds: tuple[str, ...] = ("bm25", "vector")) -> dict:
+        """The ranked lists of one pass of a search, by name, each with its weight."""
+        out, weights = {}, plan.get("fusion", {}).get("weights", {})
+        b = plan["retrieve"].get("bm25")
+        if b is not None and "bm25" in kinds:
+            hits = search.bm25(self.corpus(as_of), query, b["k"], b["k1"], b["b"], stem=b.get("stemmer") == "porter")
+            out[f"bm25:{query}"] = (hits, weight * weights.get("bm25", 1.0))
+        if "vector" in plan["retrieve"] and "vector" in kinds and collection is not None and self.embedder is not None:
+            near = vectors.nearest(self._vectors(collection, as_of), self.embedder([query])[0], 50, self._collection(collection)["metric"])
+            out[f"vector:{query}"] = (search.ranked(near.select(F.concat(F.lit("vector:"), "vec_key").alias("doc_ref"), "score"), 50), weight)
+        return out
+
+    def search(
+        self, query: str, recipe: str = "keyword", k: int | None = None, as_of: int | None = None, collection: str | None = None,
+        between: tuple[int, int] | None = None, diff: tuple[int, int] | None = None, depth: int = 0,
+    ) -> list[dict]:
+        """The best hits: doc_ref, score, rank.
+
+        between: of what was last written within the two times. diff: how the result changed between two times.
+        depth: so many of the newest versions of each key-value or document hit. A recipe with expansion asks the
+        engine's expander unless the first hit stands out; one with rerank asks its reranker.
+        """
+        if diff is not None:
+            a, b = (self._hits(query, recipe, k, t, collection, None) for t in diff)
+            return [r.asDict() for r in search.difference(a, b).orderBy("doc_ref").collect()]
+        hits = self._hits(query, recipe, k, as_of, collection, between)
+        rows = [r.asDict() for r in hits.orderBy("rank").collect()]
+        if depth:
+            for r in rows:
+                kind, _, key = r["doc_ref"].partition(":")
+                r["versions"] = self._versions(kind, key)[:depth] if kind in ("kv", "json") else []
+        return rows
+
+    def _hits(self, query: str, recipe: str, k: int | None, as_of: int | None, collection: str | None, between: tuple[int, int] | None) -> DataFrame:
         plan = self.recipe_get(recipe)
         if plan is None:
             raise NotFound(f"recipe {recipe}")
-        lists = {}
-        b = plan["retrieve"].get("bm25")
-        if b is not None:
-            lists["bm25"] = (search.bm25(self.corpus(as_of), query, b["k"], b["k1"], b["b"], stem=b.get("stemmer") == "porter"), plan.get("fusion", {}).get("weights", {}).get("bm25", 1.0))
-        if "vector" in plan["retrieve"] and collection is not None and self.embedder is not None:
-            near = vectors.nearest(self._vectors(collection, as_of), self.embedder([query])[0], 50, self._collection(collection)["metric"])
-            lists["vector"] = (search.ranked(near.select(F.concat(F.lit("vector:"), "vec_key").alias("doc_ref"), "score"), 50), 1.0)
+        limit, rrf_k = k or plan.get("transform", {}).get("limit", 10), plan.get("fusion", {}).get("k", search.RRF_K)
+        lists = self._lists(query, plan, 1.0, as_of, collection)
+        more = plan.get("expansion")
+        if lists and more and self.expander is not None:
+            first = [r["score"] for r in search.rrf(lists, 2, rrf_k).orderBy("rank").collect()]
+            if not recipes.strong_signal(first, more["strong_signal_threshold"], more["strong_signal_gap"]):
+                lists = self._lists(query, plan, more["original_weight"], as_of, collection)
+                for kind, text in recipes.parse_expansion(self.expander(query), query):
+                    lists |= self._lists(text, plan, 1.0, as_of, collection, {"lex": ("bm25",), "vec": ("bm25", "vector"), "hyde": ("vector",)}[kind])
         if not lists:
-            return []
-        limit = min(k, plan["transform"]["limit"]) if k is None else k
-        return [r.asDict() for r in search.rrf(lists, limit, plan.get("fusion", {}).get("k", search.RRF_K)).orderBy("rank").collect()]
+            return self.spark.createDataFrame([], "doc_ref string, score double, rank int")
+        top = plan.get("rerank")
+        hits = search.rrf(lists, max(limit, top["top_n"]) if top else limit, rrf_k)
+        if between is not None:
+            hits = self._written_between(hits, *between)
+        if top and self.reranker is not None:
+            hits = self._rerank(query, hits, top)
+        return search.ranked(hits.select("doc_ref", "score"), limit)
+
+    def _written_between(self, hits: DataFrame, start: int, end: int) -> DataFrame:
+        """Hits whose newest version lies within the times; events pass."""
+        parts = [self.frame(tag).select(F.concat(F.lit(f"{tag if tag != 'node' else 'graph'}:"), "key").alias("doc_ref"), "ts_us") for tag in ("kv", "json", "node")]
+        times = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("ts_us").between(start, end))
+        events_ = hits.where(F.col("doc_ref").startswith("event:"))
+        return hits.join(times.select("doc_ref"), "doc_ref", "left_semi").unionByName(events_)
+
+    def _rerank(self, query: str, hits: DataFrame, top: dict) -> DataFrame:
+        some = hits.join(self.corpus(), "doc_ref", "left").orderBy("rank").limit(top["top_n"]).collect()
+        if len(some) < top["min_candidates"]:
+            return hits
+        found = recipes.parse_ratings(self.reranker(query, [r["text"] or "" for r in some]))
+        rows = [(some[i - 1]["doc_ref"], v) for i, v in found.items() if 1 <= i <= len(some)]
+        tiers = top["blending"]
+        return search.blend(hits, self.spark.createDataFrame(rows, "doc_ref string, relevance double"), (tiers["rank_1_3"], tiers["rank_4_10"], tiers["rank_11_plus"]))
+
+    def answer(self, question: str, recipe: str = "rag", collection: str | None = None) -> dict:
+        """A generator's answer from the best hits, and the hits that it cites."""
+        if self.generator is None:
+            raise NotImplementedHere("no generator was given")
+        plan = self.recipe_get(recipe)
+        hits = [r["doc_ref"] for r in self.search(question, recipe, plan.get("rag_context_hits", 5), collection=collection)]
+        texts = {r["doc_ref"]: r["text"] for r in self.corpus().where(F.col("doc_ref").isin(hits)).collect()}
+        text = self.generator(recipes.prompt(question, [texts.get(h, "") for h in hits], plan.get("prompt", "")))
+        return {"answer": text, "citations": [hits[i - 1] for i in recipes.citations(text, len(hits))]}
 
     def recipe_set(self, name: str, recipe_json: str) -> None:
         recipe = json.loads(recipe_json)
@@ -929,8 +1018,10 @@ class Engine:
     def models_pull(self, name: str):
         raise NotImplementedHere("models are given by the caller")
 
-    def generate(self, model: str, prompt: str, **options):
-        raise NotImplementedHere("generators are given by the caller")
+    def generate(self, model: str, prompt: str, **options) -> str:
+        if self.generator is None:
+            raise NotImplementedHere("no generator was given")
+        return self.generator(prompt)
 
     def generate_unload(self, model: str) -> bool:
         return False

@@ -66,6 +66,21 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers stay after their tasks, beside the next ones."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Makes Python workers ready: the package, and few rows in an Arrow batch, so that long texts fit."""
     ship(spark)

@@ -147,7 +147,7 @@ def test_transactions(db):
     db.txn_begin()
     assert db.kv_get("n")["value"] == 1
     db.kv_put("m", 3)
-    txn, db._txn = db._txn, None
+    txn, db._txn = db._txn, None  # another session writes meanwhile
     db.kv_put("n", 9)
     db._txn = txn
     with pytest.raises(Conflict):
@@ -159,6 +159,24 @@ def test_transactions(db):
     assert db.kv_exists("m")
 
 
+def test_transactions_of_other_types(db):
+    db.txn_begin()
+    db.json_set("t", "a", 1)
+    db.json_set("t", "b", 2)
+    seq = db.event_append("inside", {"x": 1})
+    assert db.json_get("t") == {"a": 1, "b": 2} and db.event_get(seq)["event_type"] == "inside" and db.json_count("t") == 1
+    with pytest.raises(TransactionState):
+        db.graph_delete("g")
+    db.txn_rollback()
+    assert db.json_get("t") is None and db.event_get(seq) is None
+    db.txn_begin()
+    db.json_set("t", "a", 1)
+    db.kv_delete("n")
+    assert not db.kv_exists("n") and "n" not in db.kv_list()["keys"]
+    db.txn_commit()
+    assert db.json_get("t", "a") == 1 and not db.kv_exists("n")
+
+
 def test_search_and_recipes(db):
     db.json_set("s1", "", {"text": "running foxes jump"})
     db.json_set("s2", "", {"text": "a fox is quick"})
@@ -168,6 +186,15 @@ def test_search_and_recipes(db):
     assert "mine" in db.recipe_list() and len(db.search("fox", "mine")) == 1
     assert db.recipe_delete("mine") and "mine" not in db.recipe_list()
     assert db.reindex_embeddings() > 0
+    before = db.json_getv("s1")[0]["timestamp"]
+    changed = db.search("fox", diff=(before - 1, before + 100_000))
+    assert {r["doc_ref"]: r["change"] for r in changed} == {"json:s1": "added", "json:s2": "added"}
+    assert [h["doc_ref"] for h in db.search("fox", between=(before, before))] == ["json:s1"]
+    assert len(db.search("fox", depth=1)[0]["versions"]) == 1
+    db.expander, db.reranker = (lambda q: "lex: quick fox\nvec: other"), (lambda q, texts: "\n".join(f"{i}: {10 if 'jump' in t else 0}" for i, t in enumerate(texts, 1)))
+    db.generator = lambda prompt: "It jumps [1], not [9]."
+    assert db.search("fox", "rag", k=1)[0]["doc_ref"] in ("json:s1", "json:s2")
+    assert len(db.answer("fox")["citations"]) == 1
 
 
 def test_import_export(db, tmp_path, spark):
