@@ -392,7 +392,9 @@ class Engine:
         return self._event_page(lambda limit: events.by_range(self._event_log(), start_seq, end_seq, event_type, direction == "reverse", limit), limit)
 
     def event_range_by_time(self, start_ts: int, end_ts: int | None = None, limit: int | None = None, direction: str = "forward", event_type: str | None = None) -> dict:
-        return self._event_page(lambda limit: events.by_time(self._event_log(), start_ts, end_ts, event_type, direction == "reverse", limit), limit)
+        page = self._event_page(lambda limit: events.by_time(self._event_log(), start_ts, end_ts, event_type, direction == "reverse", limit), limit)
+        last = page["events"][-1:]
+        return page | {"cursor": f"ts:{last[0]['ts_us']}:seq:{last[0]['seq']}" if last else None}
 
     def event_list_types(self, as_of: int | None = None) -> list[str]:
         return sorted(r["event_type"] for r in events.types(self._event_log(as_of)).collect())

@@ -6,7 +6,7 @@ _BM25 = {"k": 50, "k1": 0.9, "b": 0.4, "stemmer": "porter", "stopwords": "lucene
 _BASE = {"version": 1, "transform": {"limit": 10}, "control": {"budget_ms": 5000}}
 _RRF = {"method": "rrf", "k": 60}
 
-#: Recipes by name: which lists a search takes and how it joins them.
+#: The built-in recipes by name, which lists a search takes and how it joins them.
 BUILT_IN = {
     "keyword": _BASE | {"retrieve": {"bm25": _BM25}, "fusion": _RRF},
     "semantic": _BASE | {"retrieve": {"vector": {}}},

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from tessera.operators import events
+from tessera.session import ship
 
 SCHEMA = "seq bigint, event_type string, payload string, ts timestamp"
 
@@ -37,6 +43,30 @@ def ingest(stream: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
     return valid(stream).writeStream.format("parquet").option("path", log_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+CHAIN = "space string, seq bigint, event_type string, payload string, ts_us bigint, prev_hash string, hash string"
+
+
+def chain(stream: DataFrame) -> DataFrame:
+    """Entries (space, event_type, payload, ts_us) as events of one hash chain a space: the state of a space is its
+    last sequence and hash. Entries of a micro-batch are taken in order of time, type and payload."""
+    ship(stream.sparkSession)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, prev = state.get if state.exists else (-1, events.GENESIS)
+        rows = pd.concat(list(batches)).sort_values(["ts_us", "event_type", "payload"], kind="stable")
+        out = []
+        for r in rows.itertuples():
+            seq += 1
+            parts = [str(seq), r.event_type, str(r.ts_us), r.payload, prev]
+            h = hashlib.sha256("|".join(f"{len(p.encode())}:{p}" for p in parts).encode()).hexdigest()
+            out.append((key[0], seq, r.event_type, r.payload, r.ts_us, prev, h))
+            prev = h
+        state.update((seq, prev))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHAIN.split(", ")])
+
+    return stream.groupBy("space").applyInPandasWithState(run, CHAIN, "seq bigint, hash string", "append", "NoTimeout")
+
+
 def follow(log: DataFrame, after: int) -> DataFrame:
     """What a follower with a cursor has not seen."""
     return log.where(F.col("seq") > after)

@@ -39,3 +39,23 @@ def test_event_stream(spark, tmp_path):
     q = event_stream.stats_by_type(event_stream.source(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("stats").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["event_type"]: (r["n"], r["last_seq"]) for r in spark.sql("SELECT * FROM stats").collect()} == {"a": (2, 10), "b": (2, 11)}
+
+
+def test_chained_stream(spark, tmp_path):
+    from tessera.operators import events
+
+    schema = "space string, event_type string, payload string, ts_us long"
+    write = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = event_stream.chain(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        q.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    write([("a", "x", "{}", 5), ("a", "y", "{}", 3), ("b", "x", "{}", 1)])
+    run()
+    write([("a", "z", "{}", 9)])
+    run()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["space"], r["seq"], r["event_type"]) for r in out.collect()) == [("a", 0, "y"), ("a", 1, "x"), ("a", 2, "z"), ("b", 0, "x")]
+    assert events.verify_chain(out.where("space = 'a'")).first()["valid"]
