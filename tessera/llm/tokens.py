@@ -23,9 +23,10 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut, fresh_path, partitions, small_batches
+from tessera.session import cut, partitions, small_batches, trim
 
 MAGIC = b"TKID\x01"
-#: Pieces of text whose ids a worker remembers at most.
-REMEMBERED = 1_000_000
+#: Pieces of text whose ids a worker remembers at most, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 1_500_000, 30_000_000
 #: Documents, and ids of each, that the dictionary is trained on at most, and its bytes at most.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY = 1000, 4096, 64 << 10
 _BREAK = re.compile(r"(?= \S)")
@@ -50,6 +51,16 @@ _RUN = re.compile(r"\s\s")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+def _key(text: str) -> str:
+    """The key of a text: without its leading space, if it has one only; else with one more."""
+    return text[1:] if text[0] == " " and text[1:2] not in ("", " ") else " " + text
+
+
+def _of_key(key: str) -> str:
+    """The text of a key."""
+    return key[1:] if key[0] == " " else " " + key
+
+
 class Remembered:
     """Runs of ids by string: a number for each string, and all runs in one array."""
 
@@ -58,13 +69,20 @@ class Remembered:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.chars = 0
+        self.flat, self.ends, self.used = np.empty(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), 0
 
     def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.number)
+        first, m = len(self.number), len(ids)
+        self.chars += sum(map(len, strings))
         self.number.update(zip(strings, range(first, first + len(strings))))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, ids])
+        if self.used + m > len(self.flat):
+            self.flat = np.append(self.flat, np.empty(max(self.used + m, 2 * len(self.flat)) - len(self.flat), np.uint32))
+        if first + len(sizes) >= len(self.ends):
+            self.ends = np.append(self.ends, np.empty(max(first + len(sizes), len(self.ends)) + 1, np.int64))
+        self.flat[self.used : self.used + m] = ids
+        self.ends[first + 1 : first + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += m
 
     def find(self, strings: list[str]) -> np.ndarray:
         return np.fromiter(map(self.number.get, strings, repeat(-1)), np.int64, len(strings))
@@ -80,73 +98,70 @@ class Encoder:
     """A byte-level BPE tokenizer, its special strings taken as ordinary text.
 
     Merges never cross the pieces of its splitting rule, which always begins one at a space before
-    a non-space. So texts are cut there, equal parts are split into pieces once, and the library
-    encodes every different piece once: words in one call, with line feeds between them, since a
-    line feed between two words is a piece of its own.
+    a non-space. So texts are cut there, equal parts are split into pieces once, and the library's
+    model merges every different piece once.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.feed = self._ids("\n")
-        self.parts, self.pieces = Remembered(), Remembered()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _learn_pieces(self, new: list[str]) -> None:
-        is_word = [x.isalpha() or x[1:].isalpha() and x[0] == " " for x in new]
-        words = [x for x, w in zip(new, is_word) if w]
-        if len(self.feed) == 1 and words:
-            ids = self._ids("\n".join(words))
-            stops = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
-            sizes = np.diff(np.append(-1, stops)) - 1
-            self.pieces.add(words, ids[ids != self.feed[0]], sizes)
-            new = [x for x, w in zip(new, is_word) if not w]
-        if new:
-            runs = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.pieces.add(new, np.array([i for r in runs for i in r], np.uint32), np.array([len(r) for r in runs]))
-
-    def _learn(self, parts: list[str]) -> None:
-        find = _PIECES.findall
-        split = [find(p[1:] if p[:1] == " " else " " + p) for p in parts]
+        if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tokenizer.normalizer is not None:
+            raise ValueError("the tokenizer is no byte-level one")
+        # The characters that stand for bytes in byte-level vocabularies: printable ones for themselves.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.known = Remembered()
+
+    def _merge(self, new: list[str]) -> None:
+        """Remembers the ids of new pieces, given by their keys."""
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        runs = [[t.id for t in merge(_of_key(k).encode().decode("latin-1").translate(letters))] for k in new]
+        self.known.add(new, np.fromiter(chain.from_iterable(runs), np.uint32), np.fromiter(map(len, runs), np.int64, len(runs)))
+
+    def _learn(self, keys: list[str]) -> None:
+        """Remembers the ids of new parts. A part of letters alone is a piece; others are split."""
+        words = [k for k in keys if k.isalpha()]
+        if words:
+            self._merge(words)
+        others = [k for k in keys if not k.isalpha()]
+        find, known = _PIECES.findall, self.known
+        split = [list(map(_key, find(_of_key(k)))) for k in others]
         flat = [x for xs in split for x in xs]
-        if len(self.pieces.number) > REMEMBERED:
-            self.pieces.clear()
-        at = self.pieces.find(flat)
+        at = known.find(flat)
         if len(miss := np.flatnonzero(at < 0)):
-            self._learn_pieces(list(dict.fromkeys(flat[i] for i in miss.tolist())))
-            at = self.pieces.find(flat)
-        ids, sizes = self.pieces.runs(at)
-        upto = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(xs) for xs in split]))]
-        self.parts.add(parts, ids, np.diff(upto))
+            self._merge(list(dict.fromkeys(flat[i] for i in miss.tolist())))
+            at = known.find(flat)
+        ids, sizes = known.runs(at)
+        counts = np.array([len(xs) for xs in split], np.int64)
+        lengths = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))])
+        several = counts > 1  # a part of one piece is known by now
+        known.add([k for k, s in zip(others, several.tolist()) if s], ids[np.repeat(several, lengths)], lengths[several])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        # Parts after a text's first are kept without their leading space. The first one, and all
-        # parts of texts with runs of white space, get a space in front as a mark.
-        parts: list[str] = []
+        keys: list[str] = []
         sizes = []
         for text in texts:
-            before = len(parts)
+            before = len(keys)
             if text:
                 if _RUN.search(text) or text[0] == " " or text[-1] == " ":
-                    parts += [" " + p for p in _BREAK.split(text) if p]
+                    keys += [_key(p) for p in _BREAK.split(text) if p]
                 else:
                     rest = text.split(" ")
                     rest[0] = " " + rest[0]
-                    parts += rest
-            sizes.append(len(parts) - before)
-        if len(self.parts.number) > REMEMBERED:
-            self.parts.clear()
-        at = self.parts.find(parts)
+                    keys += rest
+            sizes.append(len(keys) - before)
+        if len(self.known.number) > REMEMBERED or self.known.chars > REMEMBERED_CHARS:
+            self.known.clear()
+        at = self.known.find(keys)
         if len(miss := np.flatnonzero(at < 0)):
-            lost = [parts[i] for i in miss.tolist()]
+            lost = [keys[i] for i in miss.tolist()]
             self._learn(list(dict.fromkeys(lost)))
-            at[miss] = self.parts.find(lost)
-        ids, n = self.parts.runs(at)
-        upto = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes))]
+            at[miss] = self.known.find(lost)
+        ids, n = self.known.runs(at)
+        upto = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(np.array(sizes, np.int64)))]
         return [ids[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
 
@@ -160,9 +175,8 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
-    """The dictionary; empty where the sample is too small for one."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = [r["text"] for r in docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").orderBy("doc_id").select("text").limit(SAMPLE_DOCS).collect()]
+    """The dictionary; empty where the sample, the table's first rows, is too small for one."""
+    texts = [r["text"] for r in docs.where("text IS NOT NULL").select("text").limit(SAMPLE_DOCS).collect()]
     rows = [np.append(x, np.uint32(end))[:SAMPLE_IDS].astype("<u2" if _width(tokenizer) == 2 else "<u4").tobytes() for x in encoder(tokenizer).encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, rows).as_bytes()
@@ -219,6 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int) -> DataFr
         f.write(struct.pack("<QQ", len(ids), int(at[-1])))
         f.close()
         fs.move(made, name)
+        trim()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{path}/{shard:08d}.tkid"], "n_docs": [len(ids)], "n_tokens": [sum(lengths)]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     sorted_docs = slim.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -259,8 +274,8 @@ class TokenFile:
         self.f.close()
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document of the manifest's files."""
+def _read(manifest: DataFrame, make, schema: str) -> DataFrame:
+    """make(doc_id, start, n_tokens, ids) as a batch, for runs of documents of the manifest's files."""
     small_batches(manifest.sparkSession)
     place = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(place), F.lit(0)))
@@ -273,34 +288,30 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 t = TokenFile(file, cache)
                 starts = start + np.append(0, np.cumsum(t.n_tokens)[:-1])
                 for lo in range(0, len(t.doc_id), 64):
-                    at = range(lo, min(lo + 64, len(t.doc_id)))
-                    ids = [t.ids(i).astype(np.int32) for i in at]
-                    s = slice(lo, lo + len(at))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(t.doc_id[s], mask=t.is_null[s].astype(bool)), pa.array(starts[s]), pa.array(t.n_tokens[s]),
-                            pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32), pa.array(np.concatenate(ids))),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
+                    s = slice(lo, min(lo + 64, len(t.doc_id)))
+                    ids = [t.ids(i) for i in range(s.start, s.stop)]
+                    yield make(pa.array(t.doc_id[s], mask=t.is_null[s].astype(bool)), pa.array(starts[s]), pa.array(t.n_tokens[s]), ids)
                 t.close()
 
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
+    return files.mapInArrow(run, schema)
 
 
-def with_crc(tokens: DataFrame) -> DataFrame:
-    """ids replaced by ids_crc32, the unsigned CRC-32 of the ids as little-endian 32-bit integers."""
-    import zlib
+def read_tokens(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document of the manifest's files."""
+
+    def make(doc_id, start, n_tokens, ids: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+        lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([doc_id, start, n_tokens, lists], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return _read(manifest, make, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(flat[at[i] : at[i + 1]].tobytes()) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+def read_digests(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32): the unsigned CRC-32 of the ids as little-endian 32-bit integers."""
 
+    def make(doc_id, start, n_tokens, ids: list[np.ndarray]) -> pa.RecordBatch:
+        crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
+        return pa.RecordBatch.from_arrays([doc_id, start, n_tokens, crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-def token_path(spark) -> str:
-    return fresh_path(spark, "tokens")
+    return _read(manifest, make, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
