@@ -89,10 +89,9 @@ def _vector() -> list[Column]:
     return [F.round(x * SCALE).cast("bigint") for x in raw]
 
 
-def _attach(rows: DataFrame, estimates: DataFrame, on: list[str]) -> DataFrame:
-    """Joins estimates to rows; broadcast only if few."""
-    few = estimates.count() <= BROADCAST_GROUPS
-    return rows.join(F.broadcast(estimates) if few else estimates, on)
+def _attach(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Joins a table of groups to rows; broadcast only if the groups were counted and are few."""
+    return rows.join(F.broadcast(groups) if few else groups, on, how)
 
 
 def _mahalanobis(x: list[Column]) -> Column:
@@ -132,8 +131,8 @@ def _consistency(share: float) -> float:
 KEYS = ["__level", "__lang", "__source"]
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Means and factors by KEYS. rows: KEYS and x0 .. x3, each row at each of its levels."""
+def estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """Means and factors by KEYS. rows: KEYS and x0 .. x3, each row at each of its levels. few: whether the groups are."""
     x = [F.col(f"x{i}") for i in range(D)]
     # The start: medians and quartiles, from counts of (group, coordinate, value).
     parts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), x[i].alias("v")) for i in range(D)))).alias("c")
@@ -151,12 +150,12 @@ def estimates(rows: DataFrame) -> DataFrame:
             cols.append((own if i == j else F.lit(0.0)).alias(f"l{i}_{j}"))
     found = cut(start.select(*KEYS, *cols))
     for _ in range(STEPS):
-        near = _attach(rows, found, KEYS).withColumn("bin", F.floor(F.log1p(_mahalanobis(x)) * 256))
+        near = _attach(rows, found, KEYS, few).withColumn("bin", F.floor(F.log1p(_mahalanobis(x)) * 256))
         bins = near.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"))
         own = Window.partitionBy(*KEYS)
         bins = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
         edge = bins.where(100 * F.col("upto") >= COVER * F.col("all")).groupBy(*KEYS).agg(F.min("bin").alias("edge"))
-        core = _attach(near, edge, KEYS).where("bin <= edge")
+        core = _attach(near, edge, KEYS, few).where("bin <= edge")
         sums = [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(D))]
         sums += [F.sum((x[i] * x[j]).cast("decimal(38,0)")).cast("double").alias(f"s{i}_{j}") for i in range(D) for j in range(i + 1)]
         found = cut(_factor(core.groupBy(*KEYS).agg(*sums), KEYS, _consistency(COVER / 100)))
@@ -177,14 +176,14 @@ def reject_outliers(docs: DataFrame) -> DataFrame:
     rows = good.select(levels, *(f"x{i}" for i in range(D))).select("k.*", *(f"x{i}" for i in range(D)))
     sizes = rows.groupBy(*KEYS).agg(F.count("*").alias("size"))
     large = cut(sizes.where((F.col("size") >= MIN_GROUP) | (F.col("__level") == 0)).drop("size"))
-    found = estimates(_attach(rows, large, KEYS))
+    few = large.count() <= BROADCAST_GROUPS
+    found = estimates(_attach(rows, large, KEYS, few), few)
     # The deepest level with an estimate, for each (lang, source) that occurs.
     groups = good.select("lang", "source").distinct()
     level = groups.select("lang", "source", levels).select("lang", "source", "k.*").join(large, KEYS)
     level = level.groupBy("lang", "source").agg(F.max(F.struct(*KEYS)).alias("k")).select("lang", "source", "k.*")
     own = cut(level.join(found, KEYS).drop(*KEYS))
-    few = own.count() <= BROADCAST_GROUPS
-    joined = stats.join(F.broadcast(own) if few else own, ["lang", "source"], "left")
+    joined = _attach(stats, own, ["lang", "source"], own.count() <= BROADCAST_GROUPS, "left")
     distance = F.when(~F.col("base_failed"), F.round(_mahalanobis([F.col(f"x{i}") for i in range(D)]), 6))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
