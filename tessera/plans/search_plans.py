@@ -75,7 +75,12 @@ def bm25_phrase(spark, sf_dir):
     return _shown(search.bm25(text_corpus(spark, sf_dir), '"ther from"', 10))
 
 
-@query()
+@query(f"""WITH {BM25_SQL}, {_scores('s', QUERY, 1000000)}, o AS (SELECT doc_ref, term, pos FROM t WHERE term IN ('from', 'than', 'ther')),
+m AS (SELECT doc_ref, count(DISTINCT term) AS m FROM o GROUP BY 1),
+n AS (SELECT a.doc_ref AS doc_ref, a.pos AS p, b.term AS term, min(b.pos) AS pos FROM o a JOIN o b ON a.doc_ref = b.doc_ref AND b.pos >= a.pos GROUP BY 1, 2, 3),
+c AS (SELECT doc_ref, p, max(pos) - p + 1 AS span, count(*) AS terms FROM n GROUP BY 1, 2), x AS (SELECT c.doc_ref AS doc_ref, min(span) AS span FROM c JOIN m ON c.doc_ref = m.doc_ref WHERE terms = m GROUP BY 1),
+z AS (SELECT s.doc_ref AS doc_ref, round(score + CASE WHEN m > 1 THEN 0.5 * power(m / 3.0::DOUBLE, 2) / (1 + span / 10.0::DOUBLE) ELSE 0 END, 9) AS score FROM s JOIN m ON s.doc_ref = m.doc_ref JOIN x ON s.doc_ref = x.doc_ref)
+SELECT doc_ref, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc_ref))::INT AS rank FROM z QUALIFY rank <= 10""")
 def bm25_proximity(spark, sf_dir):
     return _shown(search.bm25(text_corpus(spark, sf_dir), QUERY, 10, proximity=True))
 
