@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tessera.errors import (
     AlreadyExists, Conflict, ConstraintViolation, InvalidInput, NotFound, NotImplementedHere, TesseraError, TransactionState, WrongDimension,
 )
-from tessera.functions import analysis, jsonpath, recipes, values
-from tessera.operators import branching, cells, documents, events, graph, search, vectors
+from tessera.functions import jsonpath, recipes, values
+from tessera.operators import branching, cells, documents, events, search, vectors
+from tessera.operators import graph as graphs
 from tessera.session import cut, ship
 from tessera.sources import interchange
 
@@ -1164,9 +1165,7 @@ class Engine:
         return there
 
     def graph_neighbors(self, graph: str, node_id: str, direction: str = "outgoing", edge_type: str | None = None, as_of: int | None = None) -> list[tuple]:
-        from tessera.operators import graph as g
-
-        return [tuple(r) for r in g.neighbors(self._edges(graph, as_of), node_id, direction, edge_type).orderBy("node_id", "edge_type").collect()]
+        return [tuple(r) for r in graphs.neighbors(self._edges(graph, as_of), node_id, direction, edge_type).orderBy("node_id", "edge_type").collect()]
 
     def graph_bulk_insert(self, graph: str, nodes: list[dict] = (), edges: list[dict] = (), chunk_size: int | None = None) -> dict:
         """Nodes, then edges, whose ends need not exist."""
@@ -1179,9 +1178,7 @@ class Engine:
         return {"nodes": len(nodes), "edges": len(edges)}
 
     def graph_bfs(self, graph: str, start: str, max_depth: int = 100, max_nodes: int | None = 10_000, edge_types: list[str] | None = None, direction: str = "outgoing") -> list[tuple]:
-        from tessera.operators import graph as g
-
-        return [tuple(r) for r in g.bfs(self._edges(graph), start, max_depth, max_nodes, edge_types, direction).orderBy("depth", "node_id").collect()]
+        return [tuple(r) for r in graphs.bfs(self._edges(graph), start, max_depth, max_nodes, edge_types, direction).orderBy("depth", "node_id").collect()]
 
     def _define(self, tag: str, graph: str, definition: dict) -> None:
         meta = self._graph(graph)
@@ -1226,9 +1223,7 @@ class Engine:
         return self._undefine("link_type", graph, name)
 
     def graph_freeze_ontology(self, graph: str) -> None:
-        from tessera.operators import graph as g
-
-        errors = [r["error"] for r in g.freeze_errors(self._types(graph, "object_type"), self._types(graph, "link_type")).collect()]
+        errors = [r["error"] for r in graphs.freeze_errors(self._types(graph, "object_type"), self._types(graph, "link_type")).collect()]
         if errors:
             raise ConstraintViolation("; ".join(errors))
         self._put("graph", {graph: {**self._graph(graph), "ontology": "frozen"}})
@@ -1237,9 +1232,7 @@ class Engine:
         return self._graph(graph)["ontology"]
 
     def graph_ontology_summary(self, graph: str) -> DataFrame:
-        from tessera.operators import graph as g
-
-        return g.ontology_summary(self._nodes(graph), self._edges(graph), self._types(graph, "object_type"), self._types(graph, "link_type"))
+        return graphs.ontology_summary(self._nodes(graph), self._edges(graph), self._types(graph, "object_type"), self._types(graph, "link_type"))
 
     def graph_list_ontology_types(self, graph: str) -> list[str]:
         return sorted([*self.graph_list_object_types(graph), *self.graph_list_link_types(graph)])
@@ -1248,40 +1241,28 @@ class Engine:
         return [r["node_id"] for r in self._nodes(graph).where(F.col("object_type") == object_type).orderBy("node_id").collect()]
 
     def _groups(self, labels: DataFrame, label: str, top_n: int, include_all: bool) -> dict:
-        out = {"groups": [r.asDict() for r in graph.group_summary(labels, label, top_n).orderBy(F.desc("size"), label).collect()]}
+        out = {"groups": [r.asDict() for r in graphs.group_summary(labels, label, top_n).orderBy(F.desc("size"), label).collect()]}
         return out | ({"all": labels} if include_all else {})
 
     def graph_wcc(self, graph: str, top_n: int = 10, include_all: bool = False) -> dict:
-        from tessera.operators import graph as g
-
-        return self._groups(g.wcc(self._nodes(graph), self._edges(graph)), "component", top_n, include_all)
+        return self._groups(graphs.wcc(self._nodes(graph), self._edges(graph)), "component", top_n, include_all)
 
     def graph_cdlp(self, graph: str, max_iterations: int, direction: str = "outgoing", top_n: int = 10, include_all: bool = False) -> dict:
-        from tessera.operators import graph as g
-
-        return self._groups(g.cdlp(self._nodes(graph), self._edges(graph), max_iterations, direction), "label", top_n, include_all)
+        return self._groups(graphs.cdlp(self._nodes(graph), self._edges(graph), max_iterations, direction), "label", top_n, include_all)
 
     def _scores(self, scores: DataFrame, column: str, top_n: int, include_all: bool, ascending: bool = False) -> dict:
-        from tessera.operators import graph as g
-
         order = F.asc(column) if ascending else F.desc(column)
         top = [tuple(r) for r in scores.orderBy(order, "node_id").limit(top_n).collect()]
-        return {"top": top, "distribution": g.score_distribution(scores, column).first().asDict()} | ({"all": scores} if include_all else {})
+        return {"top": top, "distribution": graphs.score_distribution(scores, column).first().asDict()} | ({"all": scores} if include_all else {})
 
     def graph_pagerank(self, graph: str, damping: float = 0.85, max_iterations: int = 20, tolerance: float = 1e-6, top_n: int = 10, include_all: bool = False) -> dict:
-        from tessera.operators import graph as g
-
-        rank, n = g.pagerank(self._nodes(graph), self._edges(graph), damping, max_iterations, tolerance)
+        rank, n = graphs.pagerank(self._nodes(graph), self._edges(graph), damping, max_iterations, tolerance)
         return {"iterations": n, "converged": n < max_iterations} | self._scores(rank, "rank", top_n, include_all)
 
     def graph_lcc(self, graph: str, top_n: int = 10, include_all: bool = False) -> dict:
-        from tessera.operators import graph as g
-
-        found = g.lcc(self._nodes(graph), self._edges(graph))
+        found = graphs.lcc(self._nodes(graph), self._edges(graph))
         row = found.agg(F.avg("lcc").alias("mean"), F.count_if(F.col("lcc") == 0).alias("zero")).first()
         return {"global": row["mean"], "zero_count": row["zero"]} | self._scores(found, "lcc", top_n, include_all)
 
     def graph_sssp(self, graph: str, source: str, direction: str = "outgoing", top_n: int = 10, include_all: bool = False) -> dict:
-        from tessera.operators import graph as g
-
-        return self._scores(g.sssp(self._edges(graph), source, direction), "distance", top_n, include_all, ascending=True)
+        return self._scores(graphs.sssp(self._edges(graph), source, direction), "distance", top_n, include_all, ascending=True)
