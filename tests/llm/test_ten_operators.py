@@ -223,7 +223,7 @@ def test_encoder_equals_the_library():
 def test_token_files(spark, table, empty, tmp_path):
     manifest = tokens.write_tokens(clashing(table), str(tmp_path / "t"), BPE, end=2)
     back = tokens.read_tokens(manifest).collect()
-    crc = {(r["doc_id"], r["start"]): r for r in tokens.with_crc(tokens.read_tokens(manifest)).collect()}
+    crc = {(r["doc_id"], r["start"]): r for r in tokens.read_digests(manifest).collect()}
     e = tokens.Encoder(BPE)
     place = 0
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -336,6 +336,8 @@ def test_pieces_round_trip(spark, table, empty):
     rows = pieces.decode(coded, SP).collect()
     want = Counter((i, t or "") for i, t, _, _ in ROWS)
     assert Counter((r["doc_id"], r["text"]) for r in rows) == want
+    once = pieces.encode_and_decode(clashing(table), SP).select("doc_id", "text", F.xxhash64("pieces").alias("p")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in once) == want
     again = pieces.encode(table.repartition(2), SP).select("doc_id", F.xxhash64("pieces").alias("p")).collect()
     assert sorted((r["doc_id"] or -1, r["p"]) for r in again) == sorted((r["doc_id"] or -1, r["p"]) for r in coded.select("doc_id", F.xxhash64("pieces").alias("p")).collect())
     other = pieces.encode(table, SP, seed=12).select(F.sum(F.xxhash64("pieces").cast("decimal(38,0)"))).first()[0]
@@ -484,5 +486,32 @@ def test_one_of_each_stays(spark):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
+def test_similar_documents_are_decided_exactly(spark):
+    r = random.Random(21)
+    rows, sets = [], {}
+    for g in range(25):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(r.randint(30, 250))]
+        for c in range(4):
+            w = list(words)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randint(0, len(w) - 1)] = f"x{r.randint(0, 99)}"
+            i = len(rows)
+            rows.append((i, " ".join(w), "en", "s"))
+            sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    pairs = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    out = simhash.similar_components(docs(spark, rows).repartition(3))
+    assert {x["doc_id"]: x["component_id"] for x in out.collect()} == {i: root(i) for i in range(len(rows))}
+    assert 25 < len({root(i) for i in range(len(rows))}) < 100
+
+
 def test_types_of_results(spark):
     assert simhash.simhash_components(docs(spark, ROWS[:5])).schema["component_id"].dataType == T.LongType()
