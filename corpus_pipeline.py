@@ -32,7 +32,7 @@ def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_of_each(docs, k=5, words=4, radius=42)
+    return simhash.keep_one_of_each(docs, k=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    back = pieces.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), model)
     return back.select("doc_id", "lang", "source", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "text")
 
 

@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
-from math import exp, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import small_batches
+from tessera.session import small_batches, trim
 
 SPACE = "▁"
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Chunks whose lattices a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: The multiplier of the hashes of pieces.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,7 +206,7 @@ class Lattices:
         split = [find(" " + (t or "")) for t in texts]
         sizes = np.array([len(c) for c in split], np.int64)
         chunks = [c for cs in split for c in cs]
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or self.nodes > 16 * REMEMBERED:
             self.clear()
         end = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         if len(miss := np.flatnonzero(end < 0)):
@@ -250,24 +250,38 @@ def lattices(path: str, alpha: float) -> Lattices:
     return Lattices(path, alpha)
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", alpha: float = 1.0, seed: int = 11) -> DataFrame:
-    """The columns of `docs` but text, and pieces, the ids of a sampled segmentation (a column of that name is replaced)."""
+def _encode(docs: DataFrame, model: str, key: str, alpha: float, seed: int, back: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("pieces", "text")]
     given = docs.select(*kept, F.col(key).cast("string").alias("__key"), F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    fields = [*docs.select(*kept).schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(fields + [T.StructField("text", T.StringType())] * back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lattices(model, alpha)
         for b in batches:
-            texts, keys = b.column("__text").to_pylist(), b.column("__key").to_pylist()
-            ids = lattices(model, alpha).encode(texts, keys, seed)
+            ids = table.encode(b.column("__text").to_pylist(), b.column("__key").to_pylist(), seed)
             at = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(at, pa.array(flat))], names=[*kept, "pieces"])
+            out = [*(b.column(c) for c in kept), pa.ListArray.from_arrays(at, pa.array(flat))]
+            if back:
+                out.append(pa.array([table.decode(x).decode() for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, "pieces", *["text"] * back])
+        trim()
 
     return given.mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, model: str, key: str = "doc_id", alpha: float = 1.0, seed: int = 11) -> DataFrame:
+    """The columns of `docs` but text, and pieces, the ids of a sampled segmentation (a column of that name is replaced)."""
+    return _encode(docs, model, key, alpha, seed, False)
+
+
+def encode_and_decode(docs: DataFrame, model: str, key: str = "doc_id", alpha: float = 1.0, seed: int = 11) -> DataFrame:
+    """As encode, and text as it is decoded from the pieces, in one pass."""
+    return _encode(docs, model, key, alpha, seed, True)
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The columns of `encoded` and text, decoded from pieces (null: null); a column of that name is replaced."""
     small_batches(encoded.sparkSession)

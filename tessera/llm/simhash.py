@@ -30,18 +30,22 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.session import cut, partitions, small_batches
+from tessera.session import cut, partitions, small_batches, trim
 
 #: Rows of a tile in the grid, before their replication to the cells of its row and column.
 GRID_ROWS = 100_000
 #: Comparisons that numpy makes at a time.
 STRIP = 1 << 21
+#: Links that a cell holds until they are looked at again, and those of a row that it then keeps of too many.
+HELD, NEAREST = 2_000_000, 2
+#: Undecided candidates of a document that are decided.
+DECIDED = 8
 #: Hash bits that are unpacked at a time.
-UNPACK = 1 << 18
+UNPACK = 1 << 16
 
 
 def _mix(h: np.ndarray, i: int) -> np.ndarray:
@@ -97,6 +101,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
                 [b.column(0), *(pa.array(np.ascontiguousarray(fp[:, j])) for j in range(words))],
                 names=["doc_id", *(f"f{j}" for j in range(words))],
             )
+        trim()
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t"))
     return slim.mapInArrow(run, "doc_id bigint, " + ", ".join(f"f{j} bigint" for j in range(words)))
@@ -133,8 +138,8 @@ def _by_grid(nodes: DataFrame, parts: list[str], tiles: int) -> DataFrame:
     return dealt.select((low.cast("bigint") * tiles + high).alias("cell"), role.alias("role"), "node", *parts)
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of `a` and `b`, both in order of bit counts, within the radius; a before b if own."""
+def _near(a: np.ndarray, b: np.ndarray, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of rows of `a` and `b`, both in order of bit counts, within the radius, and their distances; a before b if own."""
     ca, cb = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
     step = max(1, min(len(a), STRIP // max(1, min(len(b), 4096))))
     for i in range(0, len(a), step):
@@ -147,14 +152,14 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int, own: bool) -> Iterator[tupl
             for w in range(1, min(2, a.shape[1])):
                 d += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
             p, q = np.nonzero(d <= radius)
+            dist = d[p, q].astype(np.int64)
             if a.shape[1] > 2 and len(p):
-                rest = np.bitwise_count(x[p, 2:] ^ y[q, 2:]).sum(axis=1, dtype=np.int64) + d[p, q]
-                p, q = p[rest <= radius], q[rest <= radius]
-            p, q = p + i, q + j
+                dist += np.bitwise_count(x[p, 2:] ^ y[q, 2:]).sum(axis=1, dtype=np.int64)
+            good = dist <= radius
             if own:
-                p, q = p[p < q], q[p < q]
-            if len(p):
-                yield p, q
+                good &= p + i < q + j
+            if good.any():
+                yield p[good] + i, q[good] + j, dist[good]
 
 
 def _forest(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
@@ -169,24 +174,55 @@ def _forest(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
             label[:] = jump
 
 
-def _links(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Links (src, dst) that span the components of each cell; the rows come in order of cells."""
+def _nearest(label: np.ndarray, pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of the pairs (p, q, distance) those between different components; of more than `most`, each end's NEAREST nearest."""
+    pairs = pairs[:, label[pairs[0]] != label[pairs[1]]] if pairs.size else pairs
+    if pairs.shape[1] <= most:
+        return pairs
+    keep = np.zeros(pairs.shape[1], bool)
+    for end in (0, 1):
+        order = np.lexsort((pairs[1 - end], pairs[2], pairs[end]))
+        who = pairs[end][order]
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        nth = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        keep[order[nth < NEAREST]] = True
+    return pairs[:, keep]
+
+
+def _links(batches: Iterator[pa.RecordBatch], words: int, radius: int, sure: int) -> Iterator[pa.RecordBatch]:
+    """Links (src, dst, d) of each cell; the rows come in order of cells.
+
+    Links of at most `sure` bits, which get a d of 0, span the components that they make; the others, if any, are
+    those between such components, with their distances.
+    """
 
     def solve(parts: list[tuple]) -> pa.RecordBatch:
         role, node, fp = (np.concatenate([x[i] for x in parts]) for i in range(3))
         order = np.argsort(np.bitwise_count(fp).sum(axis=1, dtype=np.int64), kind="stable")
         role, node, fp = role[order], node[order], fp[order]
         home, away = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
-        label = np.arange(len(node))
+        label, open_ = np.arange(len(node)), np.empty((3, 0), np.int64)
+
+        def take(other: np.ndarray, own: bool) -> None:
+            nonlocal open_
+            for p, q, d in _near(fp[home], fp[other], radius, own):
+                near = d <= sure
+                _forest(label, home[p[near]], other[q[near]])
+                if not near.all():
+                    open_ = np.concatenate([open_, np.stack([home[p[~near]], other[q[~near]], d[~near]])], axis=1)
+                    if open_.shape[1] > HELD:
+                        open_ = _nearest(label, open_, HELD // 2)
+
         if len(home):
             if (role[home] == 0).any():
-                for p, q in _near(fp[home], fp[home], radius, True):
-                    _forest(label, home[p], home[q])
+                take(home, True)
             if len(away):
-                for p, q in _near(fp[home], fp[away], radius, False):
-                    _forest(label, home[p], away[q])
+                take(away, False)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["src", "dst"])
+        maybe = _nearest(label, open_, 2 * len(np.unique(open_[:2])))
+        src, dst = np.concatenate([node[moved], node[maybe[0]]]), np.concatenate([node[label[moved]], node[maybe[1]]])
+        d = np.concatenate([np.zeros(len(moved), np.int32), maybe[2].astype(np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(d)], names=["src", "dst", "d"])
 
     cell, held = None, []
     for b in batches:
@@ -204,27 +240,28 @@ def _links(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterat
             lo = hi
     if held:
         yield solve(held)
+    trim()
 
 
-def simhash_components(docs: DataFrame, k: int = 5, words: int = 4, radius: int = 42, blocks: int = 4) -> DataFrame:
-    """(doc_id, f0 .., component_id) of every row: its fingerprint and the smallest doc_id that links reach.
-
-    k: words of a shingle. words: 64-bit parts of a fingerprint. radius: most differing bits of a
-    link. blocks: parts of a signature, used where words is 1 and radius 2 or less; more blocks
-    make smaller tiles and more visits. The defaults take links of an estimated Jaccard
-    similarity of about 0.8 (256 * acos(0.889) / pi is 38.8, plus half a standard deviation).
-    """
-    spark = docs.sparkSession
+def _fingerprinted(docs: DataFrame, k: int, words: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(fingerprints of all rows, one node for each different one, the names of their parts)."""
     parts = [f"f{j}" for j in range(words)]
     found = cut(fingerprints(docs, k, words))
-    nodes = found.where("doc_id IS NOT NULL").groupBy(*parts).agg(F.min("doc_id").alias("node"))
-    nodes = cut(nodes)
-    if words == 1 and radius <= 2:
+    return found, cut(found.where("doc_id IS NOT NULL").groupBy(*parts).agg(F.min("doc_id").alias("node"))), parts
+
+
+def _linked(nodes: DataFrame, parts: list[str], radius: int, sure: int, blocks: int) -> DataFrame:
+    """(src, dst, d): links between nodes, d 0 for those of at most `sure` bits."""
+    if len(parts) == 1 and radius <= 2:
         cells = _by_signature(nodes, radius, blocks)
     else:
         cells = _by_grid(nodes, parts, max(8, -(-nodes.count() // GRID_ROWS)))
-    cells = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell")
-    edges = cells.mapInArrow(lambda it: _links(it, words, radius), "src bigint, dst bigint")
+    cells = cells.repartition(partitions(nodes.sparkSession), "cell").sortWithinPartitions("cell")
+    return cells.mapInArrow(lambda it: _links(it, len(parts), radius, sure), "src bigint, dst bigint, d int")
+
+
+def _named(found: DataFrame, nodes: DataFrame, parts: list[str], edges: DataFrame) -> DataFrame:
+    """found with component_id."""
     named = nodes.join(connected_components(edges), "node", "left").select(
         *parts, F.coalesce("component", "node").alias("component_id")
     )
@@ -233,12 +270,73 @@ def simhash_components(docs: DataFrame, k: int = 5, words: int = 4, radius: int
     )
 
 
+def simhash_components(docs: DataFrame, k: int = 3, words: int = 1, radius: int = 2, blocks: int = 4) -> DataFrame:
+    """(doc_id, f0 .., component_id) of every row: its fingerprint and the smallest doc_id that links reach.
+
+    k: words of a shingle. words: 64-bit parts of a fingerprint. radius: most differing bits of a
+    link. blocks: parts of a signature, used where words is 1 and radius 2 or less; more blocks
+    make smaller tiles and more visits.
+    """
+    found, nodes, parts = _fingerprinted(docs, k, words)
+    return _named(found, nodes, parts, _linked(nodes, parts, radius, radius, blocks).select("src", "dst"))
+
+
+def _shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the different shingles' hashes of the documents named, in order; of repeated ids the smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for text in b.column(1).to_pylist():
+                w = (text or b"").lower().split()
+                shingles = map(b" ".join, zip(*(w[j:] for j in range(k)))) if len(w) >= k else [b" ".join(w)] if w else []
+                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    named = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("t")).join(ids, "node", "left_semi")
+    return named.mapInArrow(run, "node bigint, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
+def similar_components(docs: DataFrame, k: int = 5, words: int = 4, radius: int = 56, sure: int = 20, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, f0 .., component_id) of every row: near-duplicates by their shingles, found by SimHash.
+
+    Fingerprints of 256 bits that differ in `radius` bits or fewer are candidates: texts of Jaccard similarity 0.8
+    differ in 38.8 bits on average, with a deviation of 5.7, unlike ones in 128 with one of 8. Those of at most `sure`
+    bits, which estimates 0.92, are links. The others are links if their sets of shingles are as similar as is asked.
+    Of a document's undecided candidates the DECIDED nearest are decided, and those of which it is one of the nearest:
+    in a group of very many like texts, whose nearest members make up the group, not every pair is looked at.
+    """
+    found, nodes, parts = _fingerprinted(docs, k, words)
+    near = cut(_linked(nodes, parts, radius, sure, 0))
+    both = near.where("d > 0").select("src", "dst", "d", F.col("src").alias("node"))
+    both = both.unionByName(both.withColumn("node", F.col("dst")))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("d", "src", "dst"))
+    open_ = cut(both.withColumn("nth", nth).where(F.col("nth") <= DECIDED).select("src", "dst").distinct())
+    ids = open_.select(F.col("src").alias("node")).unionByName(open_.select(F.col("dst").alias("node"))).distinct()
+    sets = cut(_shingle_sets(docs, ids, k))
+    pairs = open_.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src")
+    pairs = pairs.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                union = len(np.unique(both))
+                keep.append(len(both) - union >= similarity * union)
+            rows = pa.RecordBatch.from_arrays([b.column("src"), b.column("dst")], names=["src", "dst"])
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    checked = pairs.select("src", "dst", "a", "b").mapInArrow(alike, "src bigint, dst bigint")
+    return _named(found, nodes, parts, near.where("d = 0").select("src", "dst").unionByName(checked))
+
+
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` whose document is the smallest of its group of near-duplicates.
+    """The rows of `docs` whose document is the smallest of its group of similar_components.
 
     Of rows that share a doc_id one stays. Rows without doc_id stay.
     """
-    comp = simhash_components(docs.select("doc_id", "text"), **how)
+    comp = similar_components(docs.select("doc_id", "text"), **how)
     keep = comp.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id = c").select("doc_id")
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
