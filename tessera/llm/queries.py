@@ -28,7 +28,7 @@ def op3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = tokens.write_tokens(docs, fresh_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
-    return tokens.with_crc(tokens.read_tokens(manifest))
+    return tokens.read_digests(manifest)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = pieces.decode(pieces.encode(docs, model, key="doc_id", alpha=1.0, seed=11), model)
+    back = pieces.encode_and_decode(docs, model, key="doc_id", alpha=1.0, seed=11)
     return back.select(
         "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
