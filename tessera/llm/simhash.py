@@ -30,7 +30,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
@@ -40,10 +40,8 @@ from tessera.session import cut, partitions, small_batches, trim
 GRID_ROWS = 100_000
 #: Comparisons that numpy makes at a time.
 STRIP = 1 << 21
-#: Links that a cell holds until they are looked at again, and those of a row that it then keeps of too many.
-HELD, NEAREST = 2_000_000, 2
-#: Undecided candidates of a document that are decided.
-DECIDED = 8
+#: Rows of a tile of a group of candidates, the tiles that rows alone make of a group, and a tile's shingles.
+TILE_ROWS, MOST_TILES, TILE_SHINGLES = 1500, 12, 3_000_000
 #: Hash bits that are unpacked at a time.
 UNPACK = 1 << 16
 
@@ -138,8 +136,8 @@ def _by_grid(nodes: DataFrame, parts: list[str], tiles: int) -> DataFrame:
     return dealt.select((low.cast("bigint") * tiles + high).alias("cell"), role.alias("role"), "node", *parts)
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs of rows of `a` and `b`, both in order of bit counts, within the radius, and their distances; a before b if own."""
+def _near(a: np.ndarray, b: np.ndarray, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of `a` and `b`, both in order of bit counts, within the radius; a before b if own."""
     ca, cb = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
     step = max(1, min(len(a), STRIP // max(1, min(len(b), 4096))))
     for i in range(0, len(a), step):
@@ -159,7 +157,7 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int, own: bool) -> Iterator[tupl
             if own:
                 good &= p + i < q + j
             if good.any():
-                yield p[good] + i, q[good] + j, dist[good]
+                yield p[good] + i, q[good] + j
 
 
 def _forest(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
@@ -174,72 +172,94 @@ def _forest(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
             label[:] = jump
 
 
-def _nearest(label: np.ndarray, pairs: np.ndarray, most: int) -> np.ndarray:
-    """Of the pairs (p, q, distance) those between different components; of more than `most`, each end's NEAREST nearest."""
-    pairs = pairs[:, label[pairs[0]] != label[pairs[1]]] if pairs.size else pairs
-    if pairs.shape[1] <= most:
-        return pairs
-    keep = np.zeros(pairs.shape[1], bool)
-    for end in (0, 1):
-        order = np.lexsort((pairs[1 - end], pairs[2], pairs[end]))
-        who = pairs[end][order]
-        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
-        nth = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-        keep[order[nth < NEAREST]] = True
-    return pairs[:, keep]
-
-
-def _links(batches: Iterator[pa.RecordBatch], words: int, radius: int, sure: int) -> Iterator[pa.RecordBatch]:
-    """Links (src, dst, d) of each cell; the rows come in order of cells.
-
-    Links of at most `sure` bits, which get a d of 0, span the components that they make; the others, if any, are
-    those between such components, with their distances.
-    """
-
-    def solve(parts: list[tuple]) -> pa.RecordBatch:
-        role, node, fp = (np.concatenate([x[i] for x in parts]) for i in range(3))
-        order = np.argsort(np.bitwise_count(fp).sum(axis=1, dtype=np.int64), kind="stable")
-        role, node, fp = role[order], node[order], fp[order]
-        home, away = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
-        label, open_ = np.arange(len(node)), np.empty((3, 0), np.int64)
-
-        def take(other: np.ndarray, own: bool) -> None:
-            nonlocal open_
-            for p, q, d in _near(fp[home], fp[other], radius, own):
-                near = d <= sure
-                _forest(label, home[p[near]], other[q[near]])
-                if not near.all():
-                    open_ = np.concatenate([open_, np.stack([home[p[~near]], other[q[~near]], d[~near]])], axis=1)
-                    if open_.shape[1] > HELD:
-                        open_ = _nearest(label, open_, HELD // 2)
-
-        if len(home):
-            if (role[home] == 0).any():
-                take(home, True)
-            if len(away):
-                take(away, False)
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        maybe = _nearest(label, open_, 2 * len(np.unique(open_[:2])))
-        src, dst = np.concatenate([node[moved], node[maybe[0]]]), np.concatenate([node[label[moved]], node[maybe[1]]])
-        d = np.concatenate([np.zeros(len(moved), np.int32), maybe[2].astype(np.int32)])
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(d)], names=["src", "dst", "d"])
-
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each cell, which the first `keys` columns tell; the rows come in order of cells."""
     cell, held = None, []
     for b in batches:
-        cells, role, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        fp = np.stack([b.column(3 + j).to_numpy(zero_copy_only=False) for j in range(words)], axis=1).view(np.uint64)
-        ends = np.append(np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(cells))
+        ids = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], axis=1)
+        ends = np.append(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1, len(ids))
         lo = 0
         for hi in ends.tolist():
             if hi > lo:
-                if held and cells[lo] != cell:
-                    yield solve(held)
+                if held and tuple(ids[lo]) != cell:
+                    yield held
                     held = []
-                cell = cells[lo]
-                held.append((role[lo:hi], node[lo:hi], fp[lo:hi]))
+                cell = tuple(ids[lo])
+                held.append(b.slice(lo, hi - lo))
             lo = hi
     if held:
-        yield solve(held)
+        yield held
+
+
+def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in parts])
+
+
+def _forest_rows(label: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Links (src, dst) that span the components of a cell."""
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["src", "dst"])
+
+
+def _cell(parts: list[pa.RecordBatch], words: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, bool]], np.ndarray]:
+    """(fingerprints in order of bit counts, nodes, the (rows, other rows, whether they are the same) to compare, the order)."""
+    role, node = _column(parts, "role"), _column(parts, "node")
+    fp = np.stack([_column(parts, f"f{j}") for j in range(words)], axis=1).view(np.uint64)
+    order = np.argsort(np.bitwise_count(fp).sum(axis=1, dtype=np.int64), kind="stable")
+    role, node, fp = role[order], node[order], fp[order]
+    home, away = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
+    meet = [(home, home, True)] if (role[home] == 0).any() else []
+    return fp, node, meet + [(home, away, False)] * bool(len(home) and len(away)), order
+
+
+def _links(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Links (src, dst) of each cell, which span the components that all its links make."""
+    for parts in _runs(batches, 1):
+        fp, node, meet, _ = _cell(parts, words)
+        label = np.arange(len(node))
+        for home, other, own in meet:
+            for p, q in _near(fp[home], fp[other], radius, own):
+                _forest(label, home[p], other[q])
+        yield _forest_rows(label, node)
+    trim()
+
+
+def _verified(batches: Iterator[pa.RecordBatch], words: int, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (src, dst) of each cell, which span the components that its pairs within the radius and as similar make.
+
+    Every such pair is decided by its sets of shingles, unless verified links join it already.
+    """
+    for parts in _runs(batches, 2):
+        fp, node, meet, order = _cell(parts, words)
+        texts = [x for b in parts for x in b.column("shingles").to_pylist()]
+        size = np.array([len(x) // 8 for x in texts])
+        ends = np.cumsum(size)
+        _, ids = np.unique(np.frombuffer(b"".join(texts), np.uint64), return_inverse=True)
+        del texts
+        sets = [ids[ends[i] - size[i] : ends[i]] for i in order]
+        size = size[order]
+        label, mark = np.arange(len(node)), np.zeros(len(ids), np.uint8)
+        for home, other, own in meet:
+            for p, q in _near(fp[home], fp[other], radius, own):
+                p, q = home[p], other[q]
+                small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+                maybe = (label[p] != label[q]) & (small > 0) & (small >= similarity * large)
+                p, q = p[maybe], q[maybe]
+                ends = np.append(np.flatnonzero(p[1:] != p[:-1]) + 1, len(p))
+                lo = 0
+                for hi in ends.tolist():
+                    if hi > lo:
+                        one, rest = p[lo], q[lo:hi]
+                        rest = rest[label[rest] != label[one]]
+                        if len(rest):
+                            mark[sets[one]] = 1
+                            starts = np.append(0, np.cumsum(size[rest])[:-1])
+                            shared = np.add.reduceat(mark[np.concatenate([sets[i] for i in rest])], starts, dtype=np.int64)
+                            mark[sets[one]] = 0
+                            alike = rest[shared >= similarity * (size[one] + size[rest] - shared)]
+                            _forest(label, np.full(len(alike), one), alike)
+                    lo = hi
+        yield _forest_rows(label, node)
     trim()
 
 
@@ -250,14 +270,14 @@ def _fingerprinted(docs: DataFrame, k: int, words: int) -> tuple[DataFrame, Data
     return found, cut(found.where("doc_id IS NOT NULL").groupBy(*parts).agg(F.min("doc_id").alias("node"))), parts
 
 
-def _linked(nodes: DataFrame, parts: list[str], radius: int, sure: int, blocks: int) -> DataFrame:
-    """(src, dst, d): links between nodes, d 0 for those of at most `sure` bits."""
+def _linked(nodes: DataFrame, parts: list[str], radius: int, blocks: int) -> DataFrame:
+    """(src, dst): links between nodes, which span the components of all."""
     if len(parts) == 1 and radius <= 2:
         cells = _by_signature(nodes, radius, blocks)
     else:
         cells = _by_grid(nodes, parts, max(8, -(-nodes.count() // GRID_ROWS)))
     cells = cells.repartition(partitions(nodes.sparkSession), "cell").sortWithinPartitions("cell")
-    return cells.mapInArrow(lambda it: _links(it, len(parts), radius, sure), "src bigint, dst bigint, d int")
+    return cells.mapInArrow(lambda it: _links(it, len(parts), radius), "src bigint, dst bigint")
 
 
 def _named(found: DataFrame, nodes: DataFrame, parts: list[str], edges: DataFrame) -> DataFrame:
@@ -278,57 +298,90 @@ def simhash_components(docs: DataFrame, k: int = 3, words: int = 1, radius: int
     make smaller tiles and more visits.
     """
     found, nodes, parts = _fingerprinted(docs, k, words)
-    return _named(found, nodes, parts, _linked(nodes, parts, radius, radius, blocks).select("src", "dst"))
+    return _named(found, nodes, parts, _linked(nodes, parts, radius, blocks))
+
 
+def _shingles(text: bytes | None, k: int) -> bytes:
+    """The hashes of the different shingles of a text, in order."""
+    w = (text or b"").lower().split()
+    shingles = map(b" ".join, zip(*(w[j:] for j in range(k)))) if len(w) >= k else [b" ".join(w)] if w else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)).tobytes()
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(node, shingles): the different shingles' hashes of the documents named, in order; of repeated ids the smallest."""
+
+def _named_sets(docs: DataFrame, k: int, words: int) -> DataFrame:
+    """(doc_id, f0 .., s0, s1, n) of every row: its fingerprint, a digest of its set of shingles and their number."""
+    small_batches(docs.sparkSession)
+    columns = ["doc_id", *(f"f{j}" for j in range(words)), "s0", "s1", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for text in b.column(1).to_pylist():
-                w = (text or b"").lower().split()
-                shingles = map(b" ".join, zip(*(w[j:] for j in range(k)))) if len(w) >= k else [b" ".join(w)] if w else []
-                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            texts = b.column(1).to_pylist()
+            sets = [_shingles(t, k) for t in texts]
+            fp = fingerprints_of(texts, k, words).view(np.int64)
+            names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, sets)), np.int64).reshape(-1, 2)
+            numbers = np.column_stack([fp, names, np.array([len(x) // 8 for x in sets], np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in numbers.T)], names=columns)
+        trim()
+
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    return slim.mapInArrow(run, ", ".join(f"{c} bigint" for c in columns))
 
-    named = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("t")).join(ids, "node", "left_semi")
-    return named.mapInArrow(run, "node bigint, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
+def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """members (node, .., s0, s1, n) with the sets of shingles that these name, from the texts."""
+    kept = [c for c in members.columns if c not in ("s0", "s1", "n")]
 
-def similar_components(docs: DataFrame, k: int = 5, words: int = 4, radius: int = 56, sure: int = 20, similarity: float = 0.8) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, set()
+        for b in batches:
+            sets, good = [], []
+            for node, text, *name in zip(*(b.column(c).to_pylist() for c in ("node", "t", "s0", "s1"))):
+                if node != last:
+                    last, seen = node, set()
+                sets.append(_shingles(text, k))
+                digest = np.frombuffer(xxhash.xxh3_128_digest(sets[-1]), np.int64).tolist()
+                good.append(digest == name and tuple(digest) not in seen)
+                if good[-1]:
+                    seen.add(tuple(digest))
+            rows = pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sets, pa.binary())], names=[*kept, "shingles"])
+            yield rows.filter(pa.array(good, pa.bool_()))
+        trim()
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("binary").alias("t"))
+    joined = texts.hint("merge").join(members.hint("merge"), "node")
+    types = {c: t for c, t in members.dtypes}
+    return joined.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", shingles binary")
+
+
+def similar_components(docs: DataFrame, k: int = 5, words: int = 4, radius: int = 56, similarity: float = 0.8) -> DataFrame:
     """(doc_id, f0 .., component_id) of every row: near-duplicates by their shingles, found by SimHash.
 
     Fingerprints of 256 bits that differ in `radius` bits or fewer are candidates: texts of Jaccard similarity 0.8
-    differ in 38.8 bits on average, with a deviation of 5.7, unlike ones in 128 with one of 8. Those of at most `sure`
-    bits, which estimates 0.92, are links. The others are links if their sets of shingles are as similar as is asked.
-    Of a document's undecided candidates the DECIDED nearest are decided, and those of which it is one of the nearest:
-    in a group of very many like texts, whose nearest members make up the group, not every pair is looked at.
+    differ in 38.8 bits on average, with a deviation of 5.7, unlike ones in 128 with one of 8. Every pair of candidates
+    is a link if its sets of shingles are as similar as is asked; only pairs that verified links of their cell join already
+    are not looked at. Texts with the same set are one node. Candidates meet within the groups that they make: a large
+    group is dealt into tiles, each pair of which is a cell.
     """
-    found, nodes, parts = _fingerprinted(docs, k, words)
-    near = cut(_linked(nodes, parts, radius, sure, 0))
-    both = near.where("d > 0").select("src", "dst", "d", F.col("src").alias("node"))
-    both = both.unionByName(both.withColumn("node", F.col("dst")))
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("d", "src", "dst"))
-    open_ = cut(both.withColumn("nth", nth).where(F.col("nth") <= DECIDED).select("src", "dst").distinct())
-    ids = open_.select(F.col("src").alias("node")).unionByName(open_.select(F.col("dst").alias("node"))).distinct()
-    sets = cut(_shingle_sets(docs, ids, k))
-    pairs = open_.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src")
-    pairs = pairs.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                union = len(np.unique(both))
-                keep.append(len(both) - union >= similarity * union)
-            rows = pa.RecordBatch.from_arrays([b.column("src"), b.column("dst")], names=["src", "dst"])
-            yield rows.filter(pa.array(keep, pa.bool_()))
-
-    checked = pairs.select("src", "dst", "a", "b").mapInArrow(alike, "src bigint, dst bigint")
-    return _named(found, nodes, parts, near.where("d = 0").select("src", "dst").unionByName(checked))
+    parts = [f"f{j}" for j in range(words)]
+    keys = [*parts, "s0", "s1"]
+    found = cut(_named_sets(docs, k, words))
+    nodes = cut(found.where("doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("node"), F.first("n").alias("n")))
+    groups = connected_components(_linked(nodes.select("node", *parts), parts, radius, 0))
+    members = cut(nodes.join(groups, "node").select("node", *keys, "n", F.col("component").alias("grp")))
+    tiles = F.greatest(
+        F.least(F.ceil(F.count("*") / TILE_ROWS), F.lit(MOST_TILES)), F.ceil(F.sum("n") / TILE_SHINGLES)
+    ).cast("int")
+    large = members.groupBy("grp").agg(tiles.alias("tiles")).where("tiles > 1")
+    members = members.join(F.broadcast(large), "grp", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = _with_sets(docs, members, k).withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("t", "o").cast("bigint"), F.greatest("t", "o").cast("bigint")
+    role = F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2)
+    cells = dealt.select("grp", ((high * (high + 1) / 2).cast("bigint") + low).alias("cell"), role.alias("role"), "node", *parts, "shingles")
+    n = partitions(docs.sparkSession)
+    cells = cells.repartitionById(n, F.pmod(F.xxhash64("grp") % n + F.col("cell"), F.lit(n)).cast("int"))
+    checked = cells.sortWithinPartitions("grp", "cell").mapInArrow(lambda it: _verified(it, words, radius, similarity), "src bigint, dst bigint")
+    return _named(found, nodes.drop("n"), keys, checked).drop("s0", "s1", "n")
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
