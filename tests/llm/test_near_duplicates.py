@@ -19,3 +19,13 @@ def test_every_pair_of_a_large_group_of_like_texts_is_decided(spark, monkeypatch
     monkeypatch.setattr(simhash, "TILE_ROWS", 30)
     texts = [" ".join(own("t", 308) + own(f"p{i // 2}", 12) + own(f"o{i}", 36)) for i in range(200)]
     assert found(spark, texts) == [i - i % 2 for i in range(200)]
+
+
+def test_repeats_of_a_passage_count_once(spark):
+    passage = own("r", 104)
+    texts = [" ".join(passage * 10 + own(f"a{i}", 200)) for i in range(2)]  # alike in the passage only
+    phrase = own("q", 5)
+    texts += [" ".join(phrase * 300 + own(f"b{i}", 300)) for i in range(2)]  # over half of all shingles are the phrase's
+    plain = own("s", 400)
+    texts += [" ".join(plain), " ".join(plain[:210] + plain[200:210] * 60 + plain[210:])]  # alike but for repeats
+    assert found(spark, texts) == [0, 1, 2, 3, 4, 4]
