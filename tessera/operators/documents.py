@@ -109,8 +109,8 @@ def predicate(flt, indexes: list[Index]) -> Column:
     return cond
 
 
-def search(docs: DataFrame, indexes: list[Index], flt=None, sort: str | None = None, descending: bool = False, limit: int = 10) -> DataFrame:
-    """Documents by filter and order, score 1.0. Without an order by doc_id; descending reverses the ties too."""
+def search(docs: DataFrame, indexes: list[Index], flt=None, sort: str | None = None, descending: bool = False, limit: int | None = 10) -> DataFrame:
+    """Documents by filter and order, score 1.0. Without an order by doc_id; descending reverses the ties too. limit None: all."""
     rows = with_indexes(docs, indexes)
     rows = rows if flt is None else rows.where(predicate(flt, indexes))
     order = [F.col("doc_id")]
@@ -118,7 +118,8 @@ def search(docs: DataFrame, indexes: list[Index], flt=None, sort: str | None = N
         col = F.col(f"ix_{_find(indexes, sort).name}")
         rows, order = rows.where(col.isNotNull()), [col, F.col("doc_id")]
     order = [c.desc() if descending else c.asc() for c in order]
-    return rows.orderBy(*order).limit(limit).withColumn("score", F.lit(1.0))
+    rows = rows.orderBy(*order)
+    return (rows if limit is None else rows.limit(limit)).withColumn("score", F.lit(1.0))
 
 
 def flatten_export(docs: DataFrame) -> DataFrame:

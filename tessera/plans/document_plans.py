@@ -22,23 +22,23 @@ def json_get_path(spark, sf_dir):
 
 @query("SELECT 'part:' || p_partkey AS doc_id FROM part WHERE lower(p_brand) = 'brand#2'")
 def json_index_eq(spark, sf_dir):
-    return documents.search(part_docs(spark, sf_dir), INDEXES, Eq("maker.brand", "BRAND#2"), limit=1_000_000).select("doc_id")
+    return documents.search(part_docs(spark, sf_dir), INDEXES, Eq("maker.brand", "BRAND#2"), limit=None).select("doc_id")
 
 
 @query("SELECT 'part:' || p_partkey AS doc_id FROM part WHERE p_size > 10 AND p_size <= 20")
 def json_index_range(spark, sf_dir):
-    return documents.search(part_docs(spark, sf_dir), INDEXES, Range("size", 10, 20, low_in=False), limit=1_000_000).select("doc_id")
+    return documents.search(part_docs(spark, sf_dir), INDEXES, Range("size", 10, 20, low_in=False), limit=None).select("doc_id")
 
 
 @query("SELECT 'part:' || p_partkey AS doc_id FROM part WHERE starts_with(lower(p_name), 'red')")
 def json_index_prefix(spark, sf_dir):
-    return documents.search(part_docs(spark, sf_dir), INDEXES, Prefix("name", "Red"), limit=1_000_000).select("doc_id")
+    return documents.search(part_docs(spark, sf_dir), INDEXES, Prefix("name", "Red"), limit=None).select("doc_id")
 
 
 @query("SELECT 'part:' || p_partkey AS doc_id FROM part WHERE (p_size < 5 OR starts_with(lower(p_name), 'blue')) AND p_size >= 2")
 def json_filter_and_or(spark, sf_dir):
     flt = And((Or((Range("size", high=5, high_in=False), Prefix("name", "blue"))), Range("size", low=2)))
-    return documents.search(part_docs(spark, sf_dir), INDEXES, flt, limit=1_000_000).select("doc_id")
+    return documents.search(part_docs(spark, sf_dir), INDEXES, flt, limit=None).select("doc_id")
 
 
 @query("SELECT 'part:' || p_partkey AS doc_id, p_size::DOUBLE AS size, 1.0::DOUBLE AS score FROM part ORDER BY p_size DESC, doc_id DESC LIMIT 15")
