@@ -11,8 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch handed to Python. Texts may be long, so batches stay small.
-ARROW_ROWS = 256
+#: Rows and bytes of an Arrow batch handed to Python. Texts may be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,3 +86,4 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
