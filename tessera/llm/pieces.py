@@ -9,10 +9,19 @@ its score in a unigram model, and -log(1 + rank) in a BPE model, whose scores ar
 No piece crosses a line feed, nor a space after another character, so a text's lattice is a chain of
 lattices of its chunks. The forward sums of a chunk, and from them the chances of the edges into each
 of its nodes, are computed once per chunk and worker; the backward sampling then goes through all
-chunks of a batch at a time, an edge each step. The random numbers are hashes of the seed, the row's
+chunks of a group at a time, an edge each step. The random numbers are hashes of the seed, the row's
 key, the chunk's place and the step: equal calls give equal segmentations, however rows are dealt.
 
-Null texts are empty: they have the piece of the leading space. Null keys are a key of their own.
+Memory is bounded by bytes, not by rows: texts are read in groups of GROUP_CHARS characters, long ones
+in several; new chunks are learnt LEARN_CHARS characters at a time; the lattices that a worker remembers
+take EDGE_BYTES at most and are forgotten beyond that. A chunk of more than LONG characters is cut
+wherever no piece holds the two characters beside each other, which changes no chance; what is left whole
+beyond that takes about 0.5 KB a character while it is learnt.
+
+Null texts are empty: they have the piece of the leading space. Null keys are a key of their own. Repeated
+rows with equal keys get equal segmentations. An empty table gives no rows. Columns named pieces and text
+are replaced, all others are kept. Vocabulary pieces that hold a line feed, or a space after another
+character, cannot be used by this lattice and are refused with an error.
 """
 
 from __future__ import annotations
@@ -34,8 +43,10 @@ from tessera.session import small_batches, trim
 
 SPACE = "▁"
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
-#: Chunks whose lattices a worker remembers at most.
-REMEMBERED = 100_000
+#: Chunks whose lattices a worker remembers at most, and the bytes of their edges.
+REMEMBERED, EDGE_BYTES = 100_000, 48 << 20
+#: Characters that are sampled at a time, that are learnt at a time, and beyond which a chunk is cut.
+GROUP_CHARS, LEARN_CHARS, LONG = 1 << 17, 1 << 15, 1024
 #: The multiplier of the hashes of pieces.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,16 +57,16 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Grown:
-    """An array that grows."""
+class Held:
+    """An array of fixed room, whose pages are touched as it fills; it grows only for what exceeds the room on its own."""
 
-    def __init__(self, dtype):
-        self.a, self.n = np.empty(1 << 16, dtype), 0
+    def __init__(self, dtype, room: int):
+        self.a, self.n = np.empty(room, dtype), 0
 
     def add(self, values) -> None:
         m = self.n + len(values)
         if m > len(self.a):
-            self.a = np.concatenate([self.a[: self.n], np.empty(max(m, 2 * len(self.a)) - self.n, self.a.dtype)])
+            self.a = np.append(self.a[: self.n], np.empty(m - self.n, self.a.dtype))
         self.a[self.n : m] = values
         self.n = m
 
@@ -90,10 +101,15 @@ class Lattices:
         for i in ordinary:
             p = m.id_to_piece(i)
             self.bytes[i] = p.replace(SPACE, " ").encode()
-            if p and "\n" not in p and SPACE not in p.lstrip(SPACE):
+            if "\n" in p or SPACE in p.lstrip(SPACE):
+                raise ValueError(f"piece {i} goes over a line feed or an inner space")
+            if p:
                 self.pieces[p] = (i, alpha * (-log(1 - m.get_score(i)) if ranks else m.get_score(i)))
         self.byte_weight = alpha * -log(n)
         self.tables = [self._table(k) for k in range(1, max(map(len, self.pieces), default=0) + 1)]
+        pairs = {p[j : j + 2] for p in self.pieces for j in range(len(p) - 1)}
+        #: The pairs of neighbouring characters that pieces hold.
+        self.pairs = np.sort(np.array([ord(x[0]) << 32 | ord(x[1]) for x in pairs], np.uint64))
         self.clear()
 
     def _table(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,17 +126,61 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.first, self.upto, self.piece, self.source = Grown(np.int32), Grown(np.float32), Grown(np.int32), Grown(np.int32)
+        room = EDGE_BYTES // 12
+        self.first, self.upto, self.piece, self.source = (Held(t, room) for t in (np.int32, np.float32, np.int32, np.int32))
         self.first.add([0])
         self.nodes = 1
 
+    @property
+    def full(self) -> bool:
+        return len(self.number) > REMEMBERED or self.upto.n * 12 > EDGE_BYTES * 3 // 4
+
+    def _codes(self, text: str) -> np.ndarray:
+        """Code points as pieces have them. A lone surrogate, which no piece holds, stands for U+2581 in the text itself."""
+        return np.frombuffer(text.replace(SPACE, "\ud800").replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    def cut(self, chunk: str) -> list[str]:
+        """A long chunk, cut wherever no piece holds both neighbours."""
+        codes = self._codes(chunk)
+        pairs = codes[:-1] << np.uint64(32) | codes[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
+        loose = self.pairs[at] != pairs if len(self.pairs) else np.ones(len(pairs), bool)
+        ends = [*(np.flatnonzero(loose) + 1).tolist(), len(chunk)]
+        return [chunk[x:y] for x, y in zip([0, *ends], ends)]
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The chunks of a text, some GROUP_CHARS characters at a time."""
+        if len(text) <= GROUP_CHARS:
+            chunks = _CHUNK.findall(text)
+            if max(map(len, chunks)) > LONG:
+                chunks = [x for c in chunks for x in (self.cut(c) if len(c) > LONG else [c])]
+            yield chunks
+            return
+        held, size = [], 0
+        for m in _CHUNK.finditer(text):
+            for c in self.cut(m[0]) if len(m[0]) > LONG else [m[0]]:
+                held.append(c)
+                size += len(c)
+                if size >= GROUP_CHARS:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
     def learn(self, chunks: list[str]) -> None:
-        """Builds the lattices of new chunks; number[chunk] is its last node."""
+        """Builds the lattices of new chunks, some LEARN_CHARS characters at a time; number[chunk] is its last node."""
+        ends = np.cumsum([len(c) for c in chunks])
+        lo = 0
+        while lo < len(chunks):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LEARN_CHARS, "right")))
+            self._learn(chunks[lo:hi])
+            lo = hi
+
+    def _learn(self, chunks: list[str]) -> None:
         sizes = np.array([len(c) for c in chunks], np.int64)
-        # A lone surrogate, which no piece holds, stands for U+2581 in the text itself.
         text = "".join(chunks)
         raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        codes = np.frombuffer(text.replace(SPACE, "\ud800").replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = self._codes(text)
         n, owner = len(codes), np.repeat(np.arange(len(sizes)), sizes)
         begin = np.cumsum(sizes) - sizes
         place = np.arange(n) - begin[owner]  # of a character in its chunk; its slot is the place's node
@@ -182,8 +242,11 @@ class Lattices:
             whole = np.add.reduceat(value, seg)
             alpha[dst[starts[lo:hi]]] = most + np.log(whole)
             share[x:y] = value / whole[own]
-        upto = np.cumsum(share)
-        upto -= np.append(0.0, upto)[starts][segment]
+        # Sums within a node, edge after edge, so that they do not depend on the chunks beside.
+        upto, nth = share.copy(), np.arange(len(dst)) - starts[segment] if len(dst) else share
+        for k in range(1, int(nth.max(initial=0)) + 1):
+            e = np.flatnonzero(nth == k)
+            upto[e] += upto[e - 1]
         upto[ends[1:] - 1] = 2.0
         # Nodes: the slots, then those between bytes.
         base, edges = self.nodes, self.upto.n
@@ -202,19 +265,39 @@ class Lattices:
 
     def encode(self, texts: list[str | None], keys: list, seed: int) -> list[np.ndarray]:
         """The ids of a sampled segmentation of each text."""
-        find = _CHUNK.findall
-        split = [find(" " + (t or "")) for t in texts]
-        sizes = np.array([len(c) for c in split], np.int64)
-        chunks = [c for cs in split for c in cs]
-        if len(self.number) > REMEMBERED or self.nodes > 16 * REMEMBERED:
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, chars = [], 0
+
+        def flush() -> None:
+            for (i, _, _, _), ids in zip(held, self._sample(held)):
+                out[i].append(ids)
+            held.clear()
+
+        for i, (text, key) in enumerate(zip(texts, keys)):
+            row, place = xxhash.xxh64_intdigest(str(key), seed), 0
+            for chunks in self.parts(" " + (text or "")):
+                held.append((i, row, place, chunks))
+                place += len(chunks)
+                chars += sum(map(len, chunks))
+                if chars >= GROUP_CHARS:
+                    flush()
+                    chars = 0
+        flush()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def _sample(self, parts: list[tuple[int, int, int, list[str]]]) -> list[np.ndarray]:
+        """The ids of each part (text's number, key's hash, place of its first chunk, chunks)."""
+        sizes = np.array([len(p[3]) for p in parts], np.int64)
+        chunks = [c for p in parts for c in p[3]]
+        if self.full:
             self.clear()
         end = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
         if len(miss := np.flatnonzero(end < 0)):
             lost = [chunks[i] for i in miss.tolist()]
             self.learn(list(dict.fromkeys(lost)))
             end[miss] = [self.number[c] for c in lost]
-        row = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys], np.uint64)
-        place = np.arange(len(chunks)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row, begin = np.array([p[1] for p in parts], np.uint64), np.array([p[2] for p in parts], np.int64)
+        place = np.arange(len(chunks)) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)
         base = _hash(np.repeat(row, sizes) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         first, upto, piece, source = self.first.live, self.upto.live, self.piece.live, self.source.live
         live, at, steps = np.arange(len(chunks)), end, []
