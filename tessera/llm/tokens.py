@@ -15,7 +15,8 @@ own, named by its hash. One document is read by its offset alone, without those
 
 Files are written under a task's own name and then renamed, so that a task that runs again
 replaces its file. Null texts are empty: the end id alone. Rows that share a doc_id are kept.
-An empty table makes no files.
+An empty table makes no files. Only doc_id and text are read, so that other columns may have any
+names. A very long text is one frame; its ids are held by one task, four bytes each.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ REMEMBERED, REMEMBERED_CHARS = 1_500_000, 30_000_000
 #: Documents, and ids of each, that the dictionary is trained on at most, and its bytes at most.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY = 1000, 4096, 64 << 10
 _BREAK = re.compile(r"(?= \S)")
-_RUN = re.compile(r"\s\s")
+_RUN = re.compile(r" \s")
 #: The splitting rule of the byte-level tokenizers, a fixed value of theirs.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -95,38 +96,51 @@ class Remembered:
 
 
 class Encoder:
-    """A byte-level BPE tokenizer, its special strings taken as ordinary text.
+    """A byte-level BPE tokenizer, with the library's results for add_special_tokens=False.
 
     Merges never cross the pieces of its splitting rule, which always begins one at a space before
     a non-space. So texts are cut there, equal parts are split into pieces once, and the library's
-    model merges every different piece once.
+    model merges every different piece once. The strings of added tokens have ids of their own, and
+    the texts between them are encoded one by one; where an added token takes white space beside it
+    or whole words only, texts that hold it go to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or self.tokenizer.normalizer is not None:
             raise ValueError("the tokenizer is no byte-level one")
         # The characters that stand for bytes in byte-level vocabularies: printable ones for themselves.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.space = chr(self.letters[32])
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {c: i for c, (i, _) in added.items()}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values())
+        self.marks = re.compile("(" + "|".join(re.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.known = Remembered()
 
+    def _shown(self, key: str) -> str:
+        """The text of a key as byte-level vocabularies write it."""
+        if key.isascii() and key.isalpha():
+            return self.space + key
+        return _of_key(key).encode().decode("latin-1").translate(self.letters)
+
     def _merge(self, new: list[str]) -> None:
         """Remembers the ids of new pieces, given by their keys."""
-        merge, letters = self.tokenizer.model.tokenize, self.letters
-        runs = [[t.id for t in merge(_of_key(k).encode().decode("latin-1").translate(letters))] for k in new]
+        merge = self.tokenizer.model.tokenize
+        runs = [[t.id for t in merge(x)] for x in map(self._shown, new)]
         self.known.add(new, np.fromiter(chain.from_iterable(runs), np.uint32), np.fromiter(map(len, runs), np.int64, len(runs)))
 
     def _learn(self, keys: list[str]) -> None:
         """Remembers the ids of new parts. A part of letters alone is a piece; others are split."""
-        words = [k for k in keys if k.isalpha()]
+        words, others = [], []
+        for k in keys:
+            (words if k.isalpha() else others).append(k)
         if words:
             self._merge(words)
-        others = [k for k in keys if not k.isalpha()]
         find, known = _PIECES.findall, self.known
         split = [list(map(_key, find(_of_key(k)))) for k in others]
         flat = [x for xs in split for x in xs]
@@ -141,6 +155,23 @@ class Encoder:
         known.add([k for k, s in zip(others, several.tolist()) if s], ids[np.repeat(several, lengths)], lengths[several])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null texts have none."""
+        marked = [i for i, t in enumerate(texts) if t and any(c in t for c in self.added)]
+        if not marked:
+            return self._encode(texts)
+        split = {i: self.marks.split(texts[i]) if self.plain else [] for i in marked}
+        rest = [x for i, t in enumerate(texts) for x in (split[i][::2] if i in split else [t])]
+        found, out = iter(self._encode(rest)), []
+        for i, t in enumerate(texts):
+            if i not in split:
+                out.append(next(found))
+            elif self.plain:
+                out.append(np.concatenate([np.array([self.added[x]], np.uint32) if j % 2 else next(found) for j, x in enumerate(split[i])]))
+            else:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         keys: list[str] = []
         sizes = []
         for text in texts:
@@ -175,8 +206,9 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
-    """The dictionary; empty where the sample, the table's first rows, is too small for one."""
-    texts = [r["text"] for r in docs.where("text IS NOT NULL").select("text").limit(SAMPLE_DOCS).collect()]
+    """The dictionary; empty where the sample, beginnings of the table's first rows, is too small for one."""
+    beginnings = docs.where("text IS NOT NULL").select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
+    texts = [r["text"] for r in beginnings.limit(SAMPLE_DOCS).collect()]
     rows = [np.append(x, np.uint32(end))[:SAMPLE_IDS].astype("<u2" if _width(tokenizer) == 2 else "<u4").tobytes() for x in encoder(tokenizer).encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY, rows).as_bytes()

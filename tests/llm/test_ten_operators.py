@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import floor
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import AddedToken, Tokenizer
 
 from tessera.llm import knn, lines, mixing, pieces, quality_rules, simhash, site_quality, text, tokens, toxicity, warc
 
@@ -184,27 +186,55 @@ def test_outliers_odd_rows(table):
 # 3
 
 
+def best_of(rows, k=5):
+    """By whole numbers: {query: [(rank, vec_id, score)]} of (vec_id, vector)."""
+    whole = [(i, [floor(float(x) * 256) for x in v]) for i, v in rows]
+    found = {}
+    for q, a in whole:
+        if q % 50 == 0:
+            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))
+            found[q] = [(n + 1, i, -t) for n, (t, i) in enumerate(s[:k])]
+    return {q: f for q, f in found.items() if f}
+
+
+def answers(df, **how):
+    found = defaultdict(list)
+    for r in knn.exact_top_k(df, F.col("vec_id") % 50 == 0, k=5, **how).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    return found
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
 def test_knn(spark):
     g = np.random.default_rng(2)
     rows = [(i, [float(np.float32(v)) for v in g.normal(size=6) * (1 + i % 3)], 1) for i in range(400)]
     rows += [(1000 + i, rows[7][1], 0) for i in range(300)] + [(2000 + i, [0.0] * 6, 0) for i in range(30)]
-    odd = [(3000, None, 0), (3050, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (3100, [float("nan")] * 6, 0), (3150, [float("inf")] * 6, 0), (3200, [1.0, 2.0], 0), (3250, [], 0), (None, [9.0] * 6, 0), (3300, [1e30] * 6, 0)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("cell", F.lit("x")).withColumn("v", F.lit(1))
-    found = defaultdict(list)
-    for r in knn.exact_top_k(df, F.col("vec_id") % 50 == 0, k=5, pivots=8).orderBy("query_id", "rank").collect():
-        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    ids = np.array([r[0] for r in rows])
-    x = np.floor(np.array([r[1] for r in rows], np.float32).astype(np.float64) * 256).astype(int)
-    assert set(found) == {int(i) for i in ids if i % 50 == 0}
-    for q in found:
-        s = x @ x[list(ids).index(q)]
-        best = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
-        assert found[q] == [(n + 1, ids[j], s[j]) for n, j in enumerate(best)]
+    rows += [(3200, [1.0, 2.0], 0), (3201, [5000.0, 1.0], 0), (3250, [], 0), (3251, [], 0)]
+    odd = [(3000, None, 0), (3050, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (3100, [float("nan")] * 6, 0), (3150, [float("inf")] * 6, 0), (None, [9.0] * 6, 0)]
+    df = spark.createDataFrame(rows + odd, VECTORS).withColumn("cell", F.lit("x")).withColumn("v", F.lit(1)).withColumn("dim", F.lit(1))
+    assert answers(df, pivots=8) == best_of([r[:2] for r in rows])
     assert knn.exact_top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
     few = df.where("vec_id IN (0, 1)")
     assert [r["vec_id"] for r in knn.exact_top_k(few, F.col("vec_id") % 50 == 0).collect()] == [1]
 
 
+def test_knn_of_large_components(spark):
+    g = np.random.default_rng(5)
+    near = [float(np.float32(v)) for v in g.normal(size=6) * 1e6]
+    rows = [(i, [float(np.float32(v)) for v in g.normal(size=6) * 10.0 ** (i % 7)]) for i in range(300)]
+    # Differences that a double's product does not show.
+    rows += [(400 + i, [near[0], *near[1:5], near[5] + 0.125 * i]) for i in range(60)]
+    got = answers(spark.createDataFrame([(*r, 0) for r in rows], VECTORS.replace("float", "double")), pivots=8)
+    assert got == best_of(rows)
+    rows = [(50, [5000.0, 1.0]), (3, [5000.0, 2.0]), (100, [1e30, 1.0]), (4, [-1e30, 3.0]), (5, [2e30, 0.0]), (6, [1.0, 1e-3])]
+    most = (1 << 63) - 1
+    want = {q: [(n, i, min(max(s, -most - 1), most)) for n, i, s in f] for q, f in best_of([(i, np.float32(v)) for i, v in rows]).items()}
+    assert answers(spark.createDataFrame([(*r, 0) for r in rows], VECTORS)) == want
+    assert want[100][0] == (1, 5, most) and want[100][-1][1] == 4
+
+
 # 4
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -215,9 +245,19 @@ def test_encoder_equals_the_library():
     bits = [" ", "  ", "\n", "\t", "a", "The", "don't", "é", "1", "99", "!", "...", "日本", "🙂", "<|endoftext|>", " ", " ", "\x1c", "_", "²", "Ⅷ", "é", "'s", " \n "]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(4000)] + ["x" * 50_000, None, ""]
     e = tokens.Encoder(BPE)
-    want = e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    want = Tokenizer.from_file(BPE).encode_batch([t or "" for t in texts], add_special_tokens=False)
     for t, got, w in zip(texts, e.encode(texts), want):
         assert got.tolist() == w.ids, t
+    assert any(50256 in w.ids for w in want)
+
+
+def test_encoder_with_other_added_tokens(tmp_path):
+    t = Tokenizer.from_file(BPE)
+    t.add_tokens([AddedToken("dog", single_word=True), AddedToken("<x>", lstrip=True), "<x><y>"])
+    t.save(str(tmp_path / "t.json"))
+    texts = ["a dog, dogs", " <x>  b", "<x><y> c <|endoftext|>", "no such", None]
+    fresh = Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert [x.tolist() for x in tokens.Encoder(str(tmp_path / "t.json")).encode(texts)] == [fresh.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 def test_token_files(spark, table, empty, tmp_path):
