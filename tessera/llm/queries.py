@@ -40,7 +40,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("response.payload_bytes", field("payloadLength")).alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.regexp_extract("response.refers_to", r"^urn:capture:(-?\d+)$", 1).try_cast("bigint").alias("refers_to"),
+        field("refersToPage").alias("refers_to"),
     )
 
 

@@ -8,9 +8,14 @@ Archives are gzip files with a member for each record, of FILE_BYTES of payload
 Files are written under a task's own name and then renamed, so that a task that runs again
 replaces its files.
 
+A response that others refer to is named by its page and payload, so that each revisit knows its
+record id. Where several rows have the smallest page_id of a payload none is the one referred to:
+the revisits then give the page in their metadata and the payload's digest only.
+
 Null html is an empty payload, a null url gives no target. Rows without page_id are written, and
 are responses. Rows that share page_id and payload are all responses if theirs is the smallest
-page_id of the payload, else revisits. An empty table makes no archives.
+page_id of the payload, else revisits. An empty table makes no archives. Only page_id, url and html
+are read, so that other columns may have any names. A very long payload is held by one task.
 """
 
 from __future__ import annotations
@@ -51,22 +56,27 @@ def _clean(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def _capture(place: str, page: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+def _capture(place: str, page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, sole: bool) -> bytes:
+    """first: the smallest page of a payload that several pages have; sole: whether one row alone has that page."""
     name = f"urn:capture:{'' if page is None else page}:{place}"
+    known = f"urn:capture:{first}:{digest}:answer" if sole else None
+    own = known if known and page == first else f"{name}:answer"
     target = [("WARC-Target-URI", _clean(url))] if url else []
     digests = [("WARC-Payload-Digest", f"sha256:{digest}")]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     http_type = [("Content-Type", "application/http; msgtype=response")]
-    if first is None:
-        answer = _record("response", f"{name}:answer", [*target, *digests, *http_type], http + payload)
+    if first is None or page is None or page <= first:
+        fields = ""
+        answer = _record("response", own, [*target, *digests, *http_type], http + payload)
     else:
-        refers = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:capture:{first}>")]
-        answer = _record("revisit", f"{name}:answer", [*target, *digests, *refers, *http_type], http)
+        fields = f"refersToPage: {first}\r\n"
+        refers = [("WARC-Profile", REVISIT_PROFILE), *([("WARC-Refers-To", f"<{known}>")] if known else [])]
+        answer = _record("revisit", own, [*target, *digests, *refers, *http_type], http)
     request = _record(
-        "request", f"{name}:request", [*target, ("WARC-Concurrent-To", f"<{name}:answer>"), ("Content-Type", "application/http; msgtype=request")],
+        "request", f"{name}:request", [*target, ("WARC-Concurrent-To", f"<{own}>"), ("Content-Type", "application/http; msgtype=request")],
         f"GET {_clean(url or '/')} HTTP/1.1\r\n\r\n".encode(),
     )
-    fields = f"pageId: {'' if page is None else page}\r\npayloadLength: {len(payload)}\r\n"
+    fields += f"pageId: {'' if page is None else page}\r\npayloadLength: {len(payload)}\r\n"
     about = _record("metadata", f"{name}:metadata", [("WARC-Concurrent-To", f"<{name}:request>"), ("Content-Type", "application/warc-fields")], fields.encode())
     return request + answer + about
 
@@ -81,12 +91,11 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 100) -> DataFrame:
     slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", body.alias("payload"))
     slim = slim.withColumn("digest", F.sha2("payload", 256))
     shared = (
-        slim.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
-    )
-    marked = slim.join(shared, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first")
+        slim.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+        .groupBy("digest").agg(F.min(F.struct("page_id", "n")).alias("low"), F.max("page_id").alias("last")).where("low.page_id < last")
+        .select("digest", F.col("low.page_id").alias("first"), (F.col("low.n") == 1).alias("sole"))
     )
+    marked = slim.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", "first", F.coalesce("sole", F.lit(False)).alias("sole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -101,7 +110,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 100) -> DataFrame:
             out.append((f"{path}/{name}", rows))
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if f is None:
                     f, held, rows = fs.open_output_stream(made), 0, 0
                 f.write(_capture(f"{shard}-{at}", *row))
