@@ -10,7 +10,8 @@ trees are fitted on the driver, whose rows have about twenty numbers each. Scori
 Language, source and doc_id are no features. Null and empty texts have features of zero and get a score
 like any other. Labels other than 0 and 1 are left out. With labels of only one kind, or none, every
 score is that kind's rate, or 0. Rows without doc_id are scored and never teach. Repeated rows are
-scored each. An empty table gives no rows.
+scored each. An empty table gives no rows. Only doc_id and text are read, so that other columns may have
+any names. A very long text is one row of a batch bounded by bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import small_batches
+from tessera.session import cut, small_batches
 
 #: Labelled rows that teach at most.
 FIT_ROWS = 15_000
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, label: str = "toxic
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & teaches).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)))
     # Of rows that share a doc_id the smallest text teaches.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y", "part").agg(F.min("text").alias("text"))
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y", "part").agg(F.min("text").alias("text")))
     lexicon = learn_lexicon(rows.where("part < 2").select("text", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
