@@ -7,9 +7,12 @@ How much is estimated from the spread of the rates beyond what chance explains (
 document's posterior log-odds are its evidence, less the prior that the classifier was fitted under,
 plus those of its path, taken without the document itself.
 
-Evidence is summed in millionths, so that sums are exact in any order. Null texts are empty. Null
-hosts and paths are sites of their own. Without labels of both kinds every document has even
-evidence and is kept. Repeated rows count each. An empty table gives no rows.
+Sites are named by two columns, or by a column of URLs: its host in lower case without a leading www.,
+and the first part of its path. Evidence is summed in millionths, so that sums are exact in any order.
+Null texts are empty. Null hosts and paths, and what is no URL, are sites of their own. Without labels
+of both kinds every document has even evidence and is kept. Repeated rows count each; of rows that share
+a labelled doc_id that with the least features teaches. An empty table gives no rows. Only the columns
+named are read, so that others may have any names. Very long texts are read whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -78,17 +81,27 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = 0.5) -> DataFrame:
+def site_of(url: Column) -> tuple[Column, Column]:
+    """(host, first part of the path) of a URL; null for what is none."""
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    return host, F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^/*([^/]*)", 1)
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", url: str | None = None, least: float = 0.5) -> DataFrame:
     """(doc_id, __body, evidence, site_rate, quality from 0 to 1, kept: quality is at least `least`) of every row.
 
-    labels: doc_id and quality (0 or 1). host, path: the columns that name a site and its parts. __body: hash of the text.
+    labels: doc_id and quality (0 or 1). host, path: the columns that name a site and its parts; url: the column of URLs
+    that names both. __body: hash of the text.
     """
-    base = docs.select(*dict.fromkeys(["doc_id", "text", host, path]))
+    named = site_of(F.col(url)) if url else (F.col(host), F.col(path))
+    site = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in named]
+    base = docs.select("doc_id", "text", site[0].alias("__host"), site[1].alias("__path"))
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("__y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     sample = features(base.join(F.broadcast(known), "doc_id")).select("doc_id", "__y", *(f"__{x}" for x in FEATURES))
-    rows = sorted(sample.limit(2 * FIT_ROWS).collect())
-    y = np.array([r["__y"] for r in rows], float)
+    one = F.min(F.struct(*(f"__{x}" for x in FEATURES))).alias("x")
+    rows = sorted((r["doc_id"], r["__y"], *r["x"]) for r in sample.groupBy("doc_id", "__y").agg(one).collect())  # FIT_ROWS at most
+    y = np.array([r[1] for r in rows], float)
     if len(y) and 0 < y.mean() < 1:
         mean, scale, w = fit(np.array([r[2:] for r in rows], float), y)
         prior = float(y.mean())
@@ -97,9 +110,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     terms = F.lit(float(w[0]))
     for i, x in enumerate(FEATURES):
         terms = terms + (F.col(f"__{x}") - float(mean[i])) * float(w[i + 1] / scale[i])
-    site = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (host, path)]
     scored = features(base).withColumn("evidence", F.round(F.greatest(F.least(terms, F.lit(20.0)), F.lit(-20.0)), 6))
-    scored = scored.withColumn("__host", site[0]).withColumn("__path", site[1])
     scored = scored.withColumn("__p", F.round(MILLION / (1 + F.exp(-F.col("evidence")))).cast("bigint"))
     # What the sites need is small; only the documents themselves carry their texts.
     slim = cut(scored.select("doc_id", F.xxhash64("text").alias("__body"), "__host", "__path", "__p", "evidence"))
