@@ -78,12 +78,28 @@ class Engine:
 
     def _raw(self) -> DataFrame:
         try:
-            return self.spark.read.schema(cells.SCHEMA).parquet(f"{self.root}/cells")
+            return self.spark.read.schema(cells.SCHEMA).parquet(self._folder())
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 raise NotFound(self.root) from e
             raise
 
+    def _files(self):
+        """(the file system of the root, the class of its paths)."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+    def _turn(self) -> int:
+        """How often the log was compacted: the number of the newest pointer current-<n>."""
+        fs, path = self._files()
+        found = fs.globStatus(path(f"{self.root}/current-*")) or []
+        return max((int(f.getPath().getName().partition("-")[2]) for f in found), default=0)
+
+    def _folder(self, turn: int | None = None) -> str:
+        turn = self._turn() if turn is None else turn
+        return f"{self.root}/cells" + (f"-{turn:08d}" if turn else "")
+
     def _append(self, rows: list[tuple]) -> int:
         """Appends (branch, space, type, key, value or None, is_tombstone, ttl_ms, json) rows as one commit.
 
@@ -93,7 +109,7 @@ class Engine:
             return self._head
         self._head += 1
         out = self._cells(rows, self._head)
-        self.spark.createDataFrame(out, cells.SCHEMA).coalesce(1).write.mode("append").partitionBy("type_tag").parquet(f"{self.root}/cells")
+        self.spark.createDataFrame(out, cells.SCHEMA).coalesce(1).write.mode("append").partitionBy("type_tag").parquet(self._folder())
         return self._head
 
     def _cells(self, rows: list[tuple], version: int) -> list[tuple]:
@@ -600,11 +616,15 @@ class Engine:
         self._head += 1
         kind = F.when(F.col("type_tag") == "kv", F.when(F.col("value").startswith('"'), "string").when(F.col("value").startswith("{"), "object").when(F.col("value").startswith("["), "array").when(F.col("value").isin("true", "false"), "bool").when(F.col("value") == "null", "null").when(F.col("value").rlike("^-?[0-9]+$"), "int").otherwise("float")).otherwise("json")
         dead = F.col("action") == "delete"
+        for column, given in (("value_type", F.lit(None).cast("string")), ("ttl_ms", F.lit(None).cast("bigint"))):
+            if column not in actions.columns:
+                actions = actions.withColumn(column, given)
+        kind = F.coalesce("value_type", kind)
         rows = actions.select(
             F.lit(target).alias("branch"), "space", "type_tag", "key", F.lit(self._head).cast("bigint").alias("version"), F.lit(self.clock()).alias("ts_us"),
-            dead.alias("is_tombstone"), F.lit(None).cast("bigint").alias("ttl_ms"), F.when(~dead, kind).alias("value_type"), F.when(~dead, F.col("value")).alias("value"),
+            dead.alias("is_tombstone"), F.when(~dead, F.col("ttl_ms")).alias("ttl_ms"), F.when(~dead, kind).alias("value_type"), F.when(~dead, F.col("value")).alias("value"),
         )
-        rows.write.mode("append").partitionBy("type_tag").parquet(f"{self.root}/cells")
+        rows.write.mode("append").partitionBy("type_tag").parquet(self._folder())
         return self._head
 
     def branch_merge(self, source: str, target: str, strategy: str = "last_writer_wins", message: str | None = None, creator: str | None = None) -> dict:
@@ -655,7 +675,7 @@ class Engine:
     def branch_materialize(self, branch: str) -> int:
         """Writes what the branch inherits as rows of its own; it then depends on no parent."""
         snap = self._snapshot(branch).where("origin <> branch").withColumn("action", F.lit("put"))
-        self._commit_actions(branch, snap.select("space", "type_tag", "key", "action", "value"))
+        self._commit_actions(branch, snap.select("space", "type_tag", "key", "action", *branching.CELL))
         row = self._branch_row(branch)
         return self._system_put("branch", branch, {**row, "parent": None, "fork": 0})
 
@@ -683,7 +703,7 @@ class Engine:
             raise InvalidInput("the bundle's checksum is another")
         self.branch_create(info["branch"])
         rows = self.spark.read.schema(cells.SCHEMA).parquet(f"{path}/cells").withColumn("action", F.lit("put"))
-        self._commit_actions(info["branch"], rows.select("space", "type_tag", "key", "action", "value"))
+        self._commit_actions(info["branch"], rows.select("space", "type_tag", "key", "action", *branching.CELL))
         return info
 
     def tag_create(self, name: str, version: int | None = None, message: str | None = None, creator: str | None = None) -> dict:
@@ -786,17 +806,33 @@ class Engine:
         """Every commit is written when it returns."""
 
     def compact(self, floor: int | None = None, max_versions: int | None = None) -> int:
-        """Rewrites the log without what pruning drops, in few files; the new log replaces the old one's folder at the end."""
+        """Rewrites the log without what pruning drops, in few files. What forks and merges see stays.
+
+        The new log is a folder of its own, which counts from when its pointer is made, in one step; a run that
+        breaks off before leaves the old log as it was. The old folder stays until the next compaction, for readers.
+        """
         self._no_txn()
-        kept = cells.prune(self._raw(), self._head if floor is None else floor, max_versions, self.clock())
-        jvm = self.spark.sparkContext._jvm
-        made, old = f"{self.root}/cells-{uuid.uuid4().hex}", f"{self.root}/cells"
-        kept.repartition("type_tag").write.partitionBy("type_tag").parquet(made)
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(old).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.rename(path(old), path(f"{made}-old"))
-        fs.rename(path(made), path(old))
-        fs.delete(path(f"{made}-old"), True)
+        bounds, inheriting = set(), []
+        seen = [(b["name"], None) for b in self.branch_list()]
+        seen += [(m["source"], m["version"]) for m in (json.loads(r["value"]) for r in self._system("merge").collect())]
+        for name, at in seen:
+            if at is not None:
+                bounds.add((name, at))
+            elif self._lineage(name):
+                inheriting.append(name)
+            for parent, fork in self._lineage(name) if self.branch_exists(name) else []:
+                at = fork if at is None else min(at, fork)
+                bounds.add((parent, at))
+        raw, turn = self._raw(), self._turn()
+        mine = raw.where(F.col("branch") != SYSTEM)
+        kept = cells.prune(mine, self._head if floor is None else floor, max_versions, self.clock(), sorted(bounds), inheriting)
+        kept = kept.unionByName(raw.where(F.col("branch") == SYSTEM))
+        fs, path = self._files()
+        fs.delete(path(self._folder(turn + 1)), True)  # left by a run that broke off
+        kept.write.partitionBy("type_tag").parquet(self._folder(turn + 1))
+        fs.createNewFile(path(f"{self.root}/current-{turn + 1}"))
+        if turn:
+            fs.delete(path(self._folder(turn - 1)), True)
         return self._raw().count()
 
     def describe(self) -> DataFrame:

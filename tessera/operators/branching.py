@@ -1,6 +1,6 @@
 """Branches: differences, three-way classification, merges, cherry-picks, reverts, merge bases.
 
-Snapshots have space, type_tag, key, value (and value_type). A key that is absent is another thing than
+Snapshots have space, type_tag, key, value, and ttl_ms and value_type, which go with the value. A key that is absent is another thing than
 a key whose value is null: presence is a flag of its own. Classifying three snapshots is one aggregation
 over their union, so one shuffle serves for what would be two full outer joins.
 """
@@ -18,6 +18,7 @@ from tessera.operators.cells import newest
 from tessera.session import ship
 
 KEY = ["space", "type_tag", "key"]
+CELL = {"value": "string", "ttl_ms": "bigint", "value_type": "string"}
 
 
 class MergeConflict(RuntimeError):
@@ -25,11 +26,12 @@ class MergeConflict(RuntimeError):
 
 
 def _mark(snapshot: DataFrame, side: str) -> DataFrame:
-    return snapshot.select(*KEY, F.lit(side).alias("side"), F.struct("value").alias("cell"))
+    parts = [F.col(c) if c in snapshot.columns else F.lit(None).cast(t).alias(c) for c, t in CELL.items()]
+    return snapshot.select(*KEY, F.lit(side).alias("side"), F.struct(*parts).alias("cell"))
 
 
 def _aligned(sides: dict[str, DataFrame]) -> DataFrame:
-    """KEY and, for each side, the struct (value) of its cell, null where the side has no such key."""
+    """KEY and, for each side, the struct CELL, null where the side has no such key."""
     rows = None
     for name, snap in sides.items():
         marked = _mark(snap, name)
@@ -87,16 +89,16 @@ def conflicts(classified: DataFrame) -> DataFrame:
 
 
 def merge_actions(classified: DataFrame) -> DataFrame:
-    """(KEY, action: put or delete, value): what the target must do; where both changed the source wins.
+    """(KEY, action: put or delete, CELL): what the target must do; where both changed the source wins.
 
     JSON documents that both sides changed are merged value by value, the source winning below that.
     """
     takes = ["source_added", "source_changed", *CONFLICTS[:2], "modify_delete_conflict"]
     rows = classified.where(F.col("outcome").isin([*takes, "source_deleted", "delete_modify_conflict"]))
     action = F.when(F.col("outcome").isin(takes), "put").otherwise("delete")
-    plain = rows.select(*KEY, "outcome", action.alias("action"), F.col("src.value").alias("value"), F.col("anc.value").alias("anc"), F.col("tgt.value").alias("tgt"))
+    plain = rows.select(*KEY, "outcome", action.alias("action"), "src.*", F.col("anc.value").alias("anc"), F.col("tgt.value").alias("tgt"))
     both = (F.col("type_tag") == "json") & F.col("outcome").isin("conflict", "both_added_different")
-    simple = plain.where(~both).select(*KEY, "action", "value")
+    simple = plain.where(~both).select(*KEY, "action", *CELL)
     return simple.unionByName(_merge_documents(plain.where(both)))
 
 
@@ -112,7 +114,8 @@ def _merge_documents(rows: DataFrame) -> DataFrame:
             cols = [b.column(c) for c in (*KEY, "action")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(["null" if m is jsonpath.ABSENT else jsonpath.canonical(m) for m in merged], pa.string())], names=[*KEY, "action", "value"])
 
-    return rows.mapInArrow(run, "space string, type_tag string, key string, action string, value string")
+    merged = rows.mapInArrow(run, "space string, type_tag string, key string, action string, value string")
+    return merged.select("*", F.lit(None).cast("bigint").alias("ttl_ms"), F.lit("json").alias("value_type"))
 
 
 def merge(ancestor: DataFrame, source: DataFrame, target: DataFrame, strict: bool = False) -> DataFrame:
@@ -134,7 +137,7 @@ def apply(target: DataFrame, actions: DataFrame) -> DataFrame:
 def cherry_pick(source: DataFrame, picks: DataFrame) -> DataFrame:
     """Put actions for the live source rows that `picks` (space, key) names; absent ones are passed over."""
     rows = source.join(picks.select("space", "key").distinct(), ["space", "key"], "left_semi")
-    return rows.select(*KEY, F.lit("put").alias("action"), "value")
+    return rows.select(*KEY, F.lit("put").alias("action"), *(c for c in CELL if c in rows.columns))
 
 
 def pick_actions(actions: DataFrame, spaces: list[str] | None = None, keys: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
@@ -145,7 +148,7 @@ def pick_actions(actions: DataFrame, spaces: list[str] | None = None, keys: list
 
 
 def revert(cells: DataFrame, first: int, last: int, alive: Column) -> DataFrame:
-    """(KEY, action, value): takes back the versions first..last where the key is still as they left it."""
+    """(KEY, action, CELL): takes back the versions first..last where the key is still as they left it."""
     at = lambda rows: newest(rows).where(alive)
     t = _aligned({
         "before": at(cells.where(F.col("version") < first)), "after": at(cells.where(F.col("version") <= last)), "now": at(cells),
@@ -153,7 +156,7 @@ def revert(cells: DataFrame, first: int, last: int, alive: Column) -> DataFrame:
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
     rows = t.where(~same("before", "after") & same("after", "now"))
     action = F.when(F.col("before").isNull(), "delete").otherwise("put")
-    return rows.select(*KEY, action.alias("action"), F.col("before.value").alias("value"))
+    return rows.select(*KEY, action.alias("action"), "before.*")
 
 
 def merge_base(spark, lineage: DataFrame, merges: DataFrame, a: str, b: str, head_a: int, head_b: int, max_depth: int = 64) -> DataFrame:

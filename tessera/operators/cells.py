@@ -145,19 +145,32 @@ def own_entries(cells: DataFrame, branch: str, after: int) -> DataFrame:
     return cells.where((F.col("branch") == branch) & (F.col("version") > after))
 
 
-def prune(cells: DataFrame, floor: int, max_versions: int | None, now_us: int) -> DataFrame:
+def prune(
+    cells: DataFrame, floor: int, max_versions: int | None, now_us: int, bounds: list[tuple[str, int]] = (), inheriting: list[str] = (),
+) -> DataFrame:
     """What compaction keeps. Events are never pruned.
 
     Versions over `floor` stay, and of the others the newest of each key, unless it is a tombstone or
-    expired with nothing older; of all that, the `max_versions` newest.
+    expired with nothing older kept; of all that, the `max_versions` newest. bounds: (branch, version)
+    that forks and merges see: a key's newest row at each stays, whatever it is. inheriting: branches
+    with a parent, whose newest rows stay though dead, since they hide what is inherited.
     """
-    ranked = history(cells)
-    older = F.row_number().over(Window.partitionBy(*ID, F.col("version") > floor).orderBy(F.desc("version")))
-    ranked = ranked.withColumn("_below", older)
-    keep = (F.col("version") > floor) | ((F.col("_below") == 1) & alive(now_us))
+    own = Window.partitionBy(*ID).orderBy(F.desc("version"))
+    ranked = history(cells).withColumn("_after", F.lag("version").over(own))
+    open_at = lambda b: (F.col("version") <= b) & (F.col("_after").isNull() | (F.col("_after") > b))
+    held = F.lit(False)
+    if bounds:
+        seen = cells.sparkSession.createDataFrame(sorted(set(bounds)), "branch string, _at bigint").groupBy("branch").agg(F.collect_list("_at").alias("_bounds"))
+        ranked = ranked.join(F.broadcast(seen) if len(bounds) <= 100_000 else seen, "branch", "left")  # a row a branch
+        held = F.coalesce(F.exists("_bounds", open_at), F.lit(False))
+    ranked = ranked.withColumn("_held", held)
+    below = F.max("_held").over(own.rowsBetween(1, Window.unboundedFollowing))
+    hides = F.coalesce(below, F.lit(False)) | F.col("branch").isin(list(inheriting))
+    ranked = ranked.withColumn("_hides", hides)
+    keep = (F.col("version") > floor) | (open_at(F.lit(floor)) & (alive(now_us) | F.col("_hides")))
     if max_versions is not None:
         keep = keep & (F.col("age_rank") <= max_versions)
-    return ranked.where((F.col("type_tag") == "event") | keep).select(cells.columns)
+    return ranked.where((F.col("type_tag") == "event") | F.col("_held") | keep).select(cells.columns)
 
 
 def overlay(visible: DataFrame, writes: DataFrame, deletes: DataFrame) -> DataFrame:

@@ -74,41 +74,59 @@ def append(log_tail: tuple[int, str], entries: DataFrame) -> DataFrame:
 
     A chain is one fold by nature: the entries of the batch, not the log, go through one task in order.
     """
+    one = entries.select(F.lit("").alias("branch"), F.lit("").alias("space"), "position", "event_type", "payload", "ts_us")
+    return _fold(one.repartition(1), log_tail).drop("branch", "space")
+
+
+def chains(entries: DataFrame) -> DataFrame:
+    """Entries (branch, space, position, event_type, payload, ts_us) as new logs, one of each branch and space.
+
+    The logs are folded beside each other, each in order of position, a batch at a time.
+    """
+    return _fold(entries.repartition("branch", "space"), (-1, GENESIS))
+
+
+def _fold(entries: DataFrame, log_tail: tuple[int, str]) -> DataFrame:
     ship(entries.sparkSession)
     last_seq, last_hash = log_tail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        seq, prev = last_seq, last_hash
+        seq, prev, at = last_seq, last_hash, None
         for b in batches:
             out = []
-            for kind, payload, ts in zip(*(b.column(c).to_pylist() for c in ("event_type", "payload", "ts_us"))):
+            for branch, space, kind, payload, ts in zip(*(b.column(c).to_pylist() for c in ("branch", "space", "event_type", "payload", "ts_us"))):
+                if (branch, space) != at:
+                    seq, prev, at = last_seq, last_hash, (branch, space)
                 seq += 1
                 parts = [str(seq), kind, str(ts), payload, prev]
                 h = hashlib.sha256("|".join(f"{len(p.encode())}:{p}" for p in parts).encode()).hexdigest()
-                out.append((seq, kind, payload, ts, prev, h))
+                out.append((branch, space, seq, kind, payload, ts, prev, h))
                 prev = h
-            names = ["seq", "event_type", "payload", "ts_us", "prev_hash", "hash"]
-            types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            names = ["branch", "space", "seq", "event_type", "payload", "ts_us", "prev_hash", "hash"]
+            types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-    one = entries.repartition(1).sortWithinPartitions("position")
-    return one.mapInArrow(run, "seq bigint, event_type string, payload string, ts_us bigint, prev_hash string, hash string")
+    ordered = entries.select("branch", "space", "position", "event_type", "payload", "ts_us").sortWithinPartitions("branch", "space", "position")
+    return ordered.mapInArrow(run, "branch string, space string, seq bigint, event_type string, payload string, ts_us bigint, prev_hash string, hash string")
+
 
+def verify_chain(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """checked, valid, first_invalid (null: none) and last_hash: sequences dense from 0, links equal, hashes recomputed.
 
-def verify_chain(events: DataFrame) -> DataFrame:
-    """checked, valid and first_invalid (null: none): sequences dense from 0, links equal, hashes recomputed.
+    by: the columns that name a log, where there are several; a row for each.
 
     An event meets the one before it by an equi-join on the sequence, not by a window over the log.
     """
-    before = events.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("_link"))
+    before = events.select(*by, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_link"))
     own = F.sha2(content(F.col("event_type"), F.col("payload"), F.col("ts_us"), F.col("seq"), F.col("prev_hash")), 256)
     link = F.when(F.col("seq") == 0, F.lit(GENESIS)).otherwise(F.col("_link"))
     bad = ~F.coalesce((F.col("hash") == own) & (F.col("prev_hash") == link), F.lit(False))
-    checked = events.join(before, "seq", "left").withColumn("_bad", bad)
-    out = checked.agg(F.count("*").alias("checked"), F.min(F.when(F.col("_bad"), F.col("seq"))).alias("first_invalid"))
-    return out.select("checked", F.col("first_invalid").isNull().alias("valid"), "first_invalid")
+    checked = events.join(before, [*by, "seq"], "left").withColumn("_bad", bad)
+    first = F.min(F.when(F.col("_bad"), F.col("seq"))).alias("first_invalid")
+    out = checked.groupBy(*by).agg(F.count("*").alias("checked"), first, F.max_by("hash", "seq").alias("last_hash"))
+    return out.select(*by, "checked", F.col("first_invalid").isNull().alias("valid"), "first_invalid", "last_hash")
 
 
 def entry_errors(entries: DataFrame) -> DataFrame:

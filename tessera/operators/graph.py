@@ -187,9 +187,13 @@ def group_summary(labels: DataFrame, label: str, top_n: int = 10) -> DataFrame:
 def score_distribution(scores: DataFrame, column: str) -> DataFrame:
     """n, min, max, mean, median, p90 and p99 of a column; percentiles are values of it, by nearest rank."""
     counts = scores.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v"))
-    all_ = F.sum("c").over(Window.partitionBy())
-    c = counts.withColumn("upto", upto).withColumn("n", all_)
+    # Range-partitioned by value: sums run within a partition, from where those before it end.
+    counts = cut(counts.orderBy("v").withColumn("part", F.spark_partition_id()))
+    sums = counts.groupBy("part").agg(F.sum("c").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("part", before.alias("before"), F.sum("all").over(Window.partitionBy()).alias("n"))  # a row a partition
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v"))
+    c = counts.join(F.broadcast(starts), "part").withColumn("upto", upto)
 
     def at(place: Column) -> Column:
         return F.min(F.when(F.col("upto") >= place, F.col("v")))

@@ -54,9 +54,10 @@ def match(corpus: DataFrame, query: analysis.Query, stem: bool = False) -> DataF
     terms = query.terms
     rows = corpus.select("doc_ref", analysis.words(F.col("text")).alias("w"))
     if stem:
-        # Of the corpus words only those whose stem is asked for matter; they are found among the different words.
+        # Of the corpus words only those whose stem is asked for matter; they are found among the different words. A stem's
+        # words are it and the endings that the stemmer takes off, so there are few, however large the vocabulary is.
         vocabulary = rows.select(F.explode("w.term").alias("term"))
-        known = stem_table(vocabulary).where(F.col("stem").isin(terms)).limit(100_000).collect()
+        known = stem_table(vocabulary).where(F.col("stem").isin(terms)).collect()
         member = {t: [r["term"] for r in known if r["stem"] == t] for t in terms}
     else:
         member = {t: [t] for t in terms}

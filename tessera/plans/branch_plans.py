@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.operators import branching, cells
 from tessera.plans.registry import query
 from tessera.plans.views import ORDER_SQL, order_cells
+from tessera.session import table
 
 K = f"WITH {ORDER_SQL}"
 
@@ -66,10 +69,27 @@ def branch_revert(spark, sf_dir):
     return branching.revert(log, 6, 11, cells.alive(None)).select("key", "action", "value")
 
 
-@query("SELECT 'main' AS branch, 12::BIGINT AS version")
+_PAIRS = [(4, 3), (4, 10), (0, 5), (11, 4)]
+
+
+@query(f"""WITH RECURSIVE links AS (SELECT 'r:' || r_regionkey AS branch, 'root' AS up, 100 + r_regionkey AS ver FROM region
+  UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 200 + n_nationkey FROM nation
+  UNION ALL SELECT 'n:' || (n_nationkey + 1), 'n:' || n_nationkey, 300 + n_nationkey FROM nation WHERE n_nationkey % 7 = 3),
+p(a, b) AS (VALUES {", ".join(f"('n:{a}', 'n:{b}')" for a, b in _PAIRS)}),
+reach(start, branch, version) AS (SELECT DISTINCT x, x, 1000::BIGINT FROM (SELECT a AS x FROM p UNION SELECT b FROM p)
+  UNION ALL SELECT start, up, ver::BIGINT FROM reach JOIN links USING (branch)),
+best AS (SELECT start, branch, max(version) AS version FROM reach GROUP BY 1, 2)
+SELECT a, b, x.branch AS branch, least(x.version, y.version) AS version FROM p JOIN best x ON x.start = a JOIN best y ON y.start = b AND x.branch = y.branch
+QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY least(x.version, y.version) DESC, x.branch) = 1""")
 def branch_merge_base(spark, sf_dir):
-    lineage = spark.createDataFrame([("main", None, None), ("a", "main", 10), ("b", "main", 12), ("c", "a", 20)], "branch string, parent string, fork_version long")
-    merges = spark.createDataFrame([("b", "c", 18)], "source string, target string, version long")
-    return branching.merge_base(spark, lineage, merges, "c", "b", 30, 12 + 20).where("branch <> 'b'").unionByName(
-        branching.merge_base(spark, lineage, merges.where("false"), "b", "b", 12, 12).select(F.lit("main").alias("branch"), "version")
-    ).distinct()
+    """Regions as forks of one branch, nations as forks of them; some nations were merged into the next one."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    n, r = F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")), lambda c: F.concat(F.lit("r:"), F.col(c).cast("string"))
+    at = lambda base, c: (F.lit(base) + F.col(c)).cast("bigint").alias("fork_version")
+    lineage = region.select(r("r_regionkey").alias("branch"), F.lit("root").alias("parent"), at(100, "r_regionkey")).unionByName(
+        nation.select(n.alias("branch"), r("n_regionkey").alias("parent"), at(200, "n_nationkey"))
+    )
+    after = F.concat(F.lit("n:"), (F.col("n_nationkey") + 1).cast("string"))
+    merges = nation.where("n_nationkey % 7 = 3").select(n.alias("source"), after.alias("target"), (F.col("n_nationkey") + 300).cast("bigint").alias("version"))
+    found = [branching.merge_base(spark, lineage, merges, f"n:{a}", f"n:{b}", 1000, 1000).select(F.lit(f"n:{a}").alias("a"), F.lit(f"n:{b}").alias("b"), "*") for a, b in _PAIRS]
+    return reduce(lambda x, y: x.unionByName(y), found)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cells, events
 from tessera.plans.registry import query
-from tessera.plans.views import EVENT_SQL, KV_SQL, LATEST_SQL, T_US, event_log, kv_cells
+from tessera.plans.views import EVENT_SQL, KV_SQL, LATEST_SQL, T_US, event_log, kv_cells, share_of_events, share_sql
 
 W = f"WITH {KV_SQL}"
 S = f"{W}, {LATEST_SQL}"
@@ -22,10 +22,10 @@ def kv_get(spark, sf_dir):
     return cells.snapshot(kv_cells(spark, sf_dir).where("key = 'user:7'")).select("key", "version", "value")
 
 
-@query(f"""{W} SELECT key, version, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM c WHERE version <= 600)
+@query(f"""{W} SELECT key, version, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM c WHERE version <= {share_sql(60)})
 WHERE rn = 1 AND NOT is_tombstone""")
 def kv_at_version(spark, sf_dir):
-    return cells.snapshot(kv_cells(spark, sf_dir), version=600).select("key", "version", "value")
+    return cells.snapshot(kv_cells(spark, sf_dir), version=share_of_events(spark, sf_dir, 60)).select("key", "version", "value")
 
 
 _AS_OF = f"""{W}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM c WHERE ts_us <= {T_US})
@@ -80,17 +80,17 @@ def time_range(spark, sf_dir):
     return cells.time_range(kv_cells(spark, sf_dir))
 
 
-@query(f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS age, row_number() OVER (PARTITION BY key, version > 500 ORDER BY version DESC) AS below FROM c)
-SELECT key, version FROM r WHERE (version > 500 OR (below = 1 AND NOT is_tombstone AND (ttl_ms IS NULL OR {T_US} - ts_us < ttl_ms * 1000))) AND age <= 5""")
+@query(f"""{W}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS age, row_number() OVER (PARTITION BY key, version > {share_sql(50)} ORDER BY version DESC) AS below FROM c)
+SELECT key, version FROM r WHERE (version > {share_sql(50)} OR (below = 1 AND NOT is_tombstone AND (ttl_ms IS NULL OR {T_US} - ts_us < ttl_ms * 1000))) AND age <= 5""")
 def kv_prune(spark, sf_dir):
-    return cells.prune(kv_cells(spark, sf_dir), floor=500, max_versions=5, now_us=T_US).select("key", "version")
+    return cells.prune(kv_cells(spark, sf_dir), floor=share_of_events(spark, sf_dir, 50), max_versions=5, now_us=T_US).select("key", "version")
 
 
-@query(f"""{W}, n AS (SELECT key, max(version) AS v FROM c GROUP BY key), r AS (SELECT key, max(version) AS v FROM c WHERE version <= 600 GROUP BY key)
+@query(f"""{W}, n AS (SELECT key, max(version) AS v FROM c GROUP BY key), r AS (SELECT key, max(version) AS v FROM c WHERE version <= {share_sql(60)} GROUP BY key)
 SELECT r.key AS key, r.v AS seen_version, n.v AS now_version FROM r JOIN n ON r.key = n.key WHERE r.v <> n.v""")
 def occ_conflicts(spark, sf_dir):
     log = kv_cells(spark, sf_dir)
-    read = cells.newest(log.where("version <= 600")).select(*cells.ID, F.col("version").alias("seen_version"))
+    read = cells.newest(log.where(F.col("version") <= share_of_events(spark, sf_dir, 60))).select(*cells.ID, F.col("version").alias("seen_version"))
     return cells.read_conflicts(read, log).select("key", "seen_version", "now_version")
 
 
@@ -110,14 +110,14 @@ def describe(spark, sf_dir):
 E = f"WITH {EVENT_SQL}"
 
 
-@query(f"{E} SELECT seq, event_type, payload, ts_us FROM e WHERE seq >= 100 AND seq < 400 AND event_type = 'click'")
+@query(f"{E} SELECT seq, event_type, payload, ts_us FROM e WHERE seq >= {share_sql(10)} AND seq < {share_sql(40)} AND event_type = 'click'")
 def event_range(spark, sf_dir):
-    return events.by_range(event_log(spark, sf_dir), 100, 400, "click").select("seq", "event_type", "payload", "ts_us")
+    return events.by_range(event_log(spark, sf_dir), share_of_events(spark, sf_dir, 10), share_of_events(spark, sf_dir, 40), "click").select("seq", "event_type", "payload", "ts_us")
 
 
-@query(f"{E} SELECT seq, event_type FROM e WHERE seq >= 0 AND seq < 500 ORDER BY seq DESC LIMIT 25")
+@query(f"{E} SELECT seq, event_type FROM e WHERE seq >= 0 AND seq < {share_sql(50)} ORDER BY seq DESC LIMIT 25")
 def event_range_reverse(spark, sf_dir):
-    return events.by_range(event_log(spark, sf_dir), 0, 500, reverse=True, limit=25).select("seq", "event_type")
+    return events.by_range(event_log(spark, sf_dir), 0, share_of_events(spark, sf_dir, 50), reverse=True, limit=25).select("seq", "event_type")
 
 
 @query(f"{E} SELECT seq, event_type, ts_us FROM e WHERE ts_us BETWEEN {T_US} AND {T_US + 172_800_000_000}")
@@ -150,7 +150,22 @@ def event_gaps(spark, sf_dir):
     return events.with_next_gap(event_log(spark, sf_dir)).select("seq", "event_type", "gap_us")
 
 
-@query("SELECT count(*) AS checked, true AS valid, NULL::BIGINT AS first_invalid FROM events")
+@query(f"""{E}, x AS (SELECT event_type AS space, seq, (row_number() OVER (PARTITION BY event_type ORDER BY seq) - 1)::VARCHAR AS n, ts_us::VARCHAR AS t, payload FROM e),
+y AS (SELECT space, seq, strlen(n) || ':' || n || '|' || strlen(space) || ':' || space || '|' || strlen(t) || ':' || t || '|' || strlen(payload) || ':' || payload AS part FROM x)
+SELECT space, count(*) AS checked, true AS valid, NULL::BIGINT AS first_invalid,
+  list_reduce(['{events.GENESIS}'] || list(part ORDER BY seq), lambda h, part: sha256(part || '|64:' || h)) AS last_hash FROM y GROUP BY 1""")
 def event_chain_verify(spark, sf_dir):
-    log = event_log(spark, sf_dir).withColumn("position", F.col("seq"))
-    return events.verify_chain(events.append((-1, events.GENESIS), log))
+    """The events as a log of each type: chained, then checked."""
+    log = event_log(spark, sf_dir).withColumn("position", F.col("seq")).withColumn("space", F.col("event_type"))
+    return events.verify_chain(events.chains(log), by=("branch", "space")).drop("branch")
+
+
+@query(f"""{W}, b(v) AS (SELECT {share_sql(30)} UNION SELECT {share_sql(60)}), n AS (SELECT *, lead(version) OVER (PARTITION BY key ORDER BY version) AS after FROM c),
+h AS (SELECT *, EXISTS (SELECT 1 FROM b WHERE version <= v AND (after IS NULL OR after > v)) AS held FROM n),
+k AS (SELECT *, coalesce(bool_or(held) OVER (PARTITION BY key ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hides FROM h)
+SELECT key, version FROM k WHERE held OR version > {share_sql(80)} OR ((after IS NULL OR after > {share_sql(80)}) AND version <= {share_sql(80)} AND ((NOT is_tombstone AND (ttl_ms IS NULL OR {T_US} - ts_us < ttl_ms * 1000)) OR hides))""")
+def compact_with_forks(spark, sf_dir):
+    """What compaction keeps where branches were forked at two versions."""
+    at = {p: share_of_events(spark, sf_dir, p) for p in (30, 60, 80)}
+    log = kv_cells(spark, sf_dir)
+    return cells.prune(log, at[80], None, T_US, [("main", at[30]), ("main", at[60])]).select("key", "version")

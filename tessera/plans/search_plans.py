@@ -1,4 +1,4 @@
-"""Queries of full-text and hybrid search over the English documents."""
+"""Queries of full-text and hybrid search over the documents."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import analysis
-from tessera.operators import search
+from tessera.operators import graph, search
 from tessera.plans.registry import query
 from tessera.plans.views import text_corpus, vector_rows
 from tessera.session import table
@@ -15,9 +15,9 @@ QUERY = "from than ther"
 _STOP = ", ".join(f"'{w}'" for w in analysis.STOPWORDS)
 _WORD = analysis.WORD.replace("'", "''")
 
-#: Terms with positions, lengths, and the scores of the query: table expressions.
-BM25_SQL = f"""
-w AS (SELECT doc_id AS doc_ref, regexp_extract_all(text, '{_WORD}') AS ws FROM documents WHERE lang = 'en'),
+def _bm25_sql(where: str = "true") -> str:
+    return f"""
+w AS (SELECT doc_id AS doc_ref, regexp_extract_all(text, '{_WORD}') AS ws FROM documents WHERE {where}),
 t0 AS (SELECT doc_ref, unnest(ws) AS raw, generate_subscripts(ws, 1) - 1 AS pos FROM w),
 t AS (SELECT * FROM (SELECT doc_ref, pos, lower(regexp_replace(regexp_replace(raw, '[''’]s$', ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS term FROM t0) WHERE strlen(term) >= 2 AND term NOT IN ({_STOP})),
 d AS (SELECT doc_ref, max(pos) + 1 AS dl FROM t GROUP BY 1),
@@ -26,6 +26,10 @@ tf AS (SELECT doc_ref, term, count(*) AS tf FROM t GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
 
 
+#: Terms with positions, lengths, and the scores of the query: table expressions.
+BM25_SQL = _bm25_sql()
+
+
 def _scores(name: str, terms: str, k: int = 10) -> str:
     listed = ", ".join(f"'{t}'" for t in terms.split())
     return f"""{name}0 AS (SELECT doc_ref, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 1.9 / (tf + 0.9 * (1 - 0.4) + 0.9 * 0.4 * dl / greatest(avgdl, 1))), 9) AS score
@@ -120,20 +124,27 @@ def rerank_blend(spark, sf_dir):
     return search.blend(hits, judged).select("doc_ref", "old_rank", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {BM25_SQL}, {_scores('a', QUERY)}, {_scores('b', 'from ther')}
+@query(f"""WITH a AS (WITH {_bm25_sql('doc_id % 2 = 0')}, {_scores('a', QUERY)} SELECT * FROM a), b AS (WITH {BM25_SQL}, {_scores('b', QUERY)} SELECT * FROM b)
 SELECT doc_ref, CASE WHEN a.rank IS NULL THEN 'added' WHEN b.rank IS NULL THEN 'removed' ELSE 'changed' END AS change, a.rank::INT AS r1, b.rank::INT AS r2
 FROM a FULL JOIN b USING (doc_ref) WHERE a.rank IS NULL OR b.rank IS NULL OR abs(a.score - b.score) > 0.05 OR a.rank <> b.rank""")
 def search_diff(spark, sf_dir):
-    corpus = text_corpus(spark, sf_dir)
-    return search.difference(search.bm25(corpus, QUERY, 10), search.bm25(corpus, "from ther", 10))
+    """Between two times: at the first only the documents of even number were written."""
+    corpus = text_corpus(spark, sf_dir).withColumn("ts_us", F.col("doc_ref") % 2)
+    at = lambda t: search.bm25(corpus.where(F.col("ts_us") <= t), QUERY, 10)
+    return search.difference(at(0), at(1))
 
 
-@query(f"""WITH {BM25_SQL}, {_scores('s', QUERY)}, b AS (SELECT doc_ref, score * CASE WHEN doc_ref % 3 = 0 THEN 1 + 0.3 * power(0.5, doc_ref % 2) ELSE 1 END AS score FROM s)
+@query(f"""WITH {BM25_SQL}, {_scores('s', QUERY)}, x AS (SELECT doc_id AS doc_ref, CASE WHEN doc_id = 0 THEN 0 ELSE 2 END AS depth FROM documents
+  WHERE doc_id = 0 OR source = (SELECT source FROM documents WHERE doc_id = 0)),
+b AS (SELECT doc_ref, score * (1 + coalesce(0.3 * power(0.5, depth), 0)) AS score FROM s LEFT JOIN x USING (doc_ref))
 SELECT doc_ref, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, doc_ref))::INT AS rank FROM b""")
 def graph_boosted_search(spark, sf_dir):
+    """Hits near document 0 in the graph of documents and their sources."""
     hits = search.bm25(text_corpus(spark, sf_dir), QUERY, 10)
-    near = hits.where("doc_ref % 3 = 0").select("doc_ref", (F.col("doc_ref") % 2).cast("int").alias("depth"))
-    return _shown(search.graph_boost(hits, near))
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    edges = docs.select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("src"), F.concat(F.lit("s:"), F.col("source")).alias("dst"), F.lit("FROM").alias("edge_type"), F.lit(1.0).alias("weight"))
+    reached = graph.bfs(edges, "d:0", max_depth=2, direction=graph.BOTH).where(F.col("node_id").startswith("d:"))
+    return _shown(search.graph_boost(hits, reached.select(F.substring("node_id", 3, 20).cast("bigint").alias("doc_ref"), "depth")))
 
 
 @query("""WITH h AS (SELECT DISTINCT user_id FROM events WHERE user_id < 5)

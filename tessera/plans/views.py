@@ -41,6 +41,15 @@ def kv_cells(spark: SparkSession, sf_dir: str, until_us: int | None = None) -> D
     )
 
 
+def share_of_events(spark: SparkSession, sf_dir: str, percent: int) -> int:
+    """A version so many hundredths through the events."""
+    return (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) * percent // 100
+
+
+def share_sql(percent: int) -> str:
+    return f"(SELECT max(event_id) * {percent} // 100 FROM events)"
+
+
 #: The same in SQL: a table expression named c.
 KV_SQL = """
 c AS (SELECT 'main' AS branch, 'default' AS space, 'kv' AS type_tag, 'user:' || user_id AS key, event_id AS version, epoch_us(ts) AS ts_us,
@@ -69,7 +78,7 @@ def part_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc_ref"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ref"), "text")
 
 
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

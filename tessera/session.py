@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (local runs, tests) is a temporary folder made.
+    Only where that setting is absent in a local run, as in tests, is a temporary folder made.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else None
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():

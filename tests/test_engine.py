@@ -59,7 +59,8 @@ def test_events(db):
     assert [e["seq"] for e in page["events"]] == [0, 1] and page["has_more"] and page["cursor"] == "seq:1"
     assert [e["seq"] for e in db.event_get_by_type("click", after_sequence=0)] == [2]
     assert db.event_len() == 3 and db.event_list_types() == ["click", "view"]
-    assert db.event_verify_chain() == {"checked": 3, "valid": True, "first_invalid": None}
+    chain = db.event_verify_chain()
+    assert (chain["checked"], chain["valid"], chain["first_invalid"], len(chain["last_hash"])) == (3, True, None, 64)
 
 
 def test_vectors(db):

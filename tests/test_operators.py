@@ -60,7 +60,8 @@ def test_cas(spark):
 def test_chain_finds_tampering(spark):
     entries = spark.createDataFrame([(i, "t", json.dumps({"i": i}), i) for i in range(5)], "position int, event_type string, payload string, ts_us long")
     chain = events.append((-1, events.GENESIS), entries).cache()
-    assert events.verify_chain(chain).first().asDict() == {"checked": 5, "valid": True, "first_invalid": None}
+    last = chain.orderBy("seq").collect()[-1]["hash"]
+    assert events.verify_chain(chain).first().asDict() == {"checked": 5, "valid": True, "first_invalid": None, "last_hash": last}
     bad = chain.withColumn("payload", F.when(F.col("seq") == 3, '{"i":9}').otherwise(F.col("payload")))
     assert events.verify_chain(bad).first()["first_invalid"] == 3
     assert events.verify_chain(chain.where("seq <> 2")).first()["first_invalid"] == 3
