@@ -6,16 +6,23 @@ that the text holds twice or more.
 
 The others become vectors: log of the mean word length, log of symbols per 100 word characters,
 log of repeated lines, root of the share of repeated words; each in whole steps of 1/SCALE, so that
-sums are exact in any order. For each language and source the minimum covariance determinant is
-estimated: a start from medians and quartiles, then concentration steps, each of which keeps the
-COVER per cent nearest by Mahalanobis distance and takes their means and covariances anew. Medians
-and distances are cut from histograms with bounded numbers of steps, which are aggregated map-side,
-so that no task gathers a group. Groups of fewer than MIN_GROUP rows use their language's estimate,
-and languages of fewer the estimate of all. Deviations below FLOOR are added to the covariances, since
-most texts have no symbols or repeated lines at all. A vector beyond CUTOFF is rejected.
-
-Null texts have no words and fail. Null languages and sources are groups of their own. Repeated rows
-count each. An empty table gives no rows.
+sums are exact in any order. For each language, and then for each language and source, the minimum
+covariance determinant is estimated: from each of two starts, concentration steps keep half of the
+rows (more exactly (n + D + 1) / 2, parts of a bin of equal distances counting in part), nearest by
+Mahalanobis distance, and take their means and covariances anew, until the determinant falls no more;
+the start with the least determinant counts. The rows within the usual quantile of that estimate then
+give the final one. Starts: medians and quartiles; for a language the means and covariances of all its
+rows, for a source its language's estimate.
+
+Small groups are shrunk, and by no switch: a source's rows are joined by PRIOR_ROWS rows of its
+language's mean and covariance at every step, so that a source of few rows has nearly its language's
+estimate and one of many its own. Deviations below FLOOR are added to the covariances, since most texts
+have no symbols or repeated lines at all. A vector beyond CUTOFF is rejected.
+
+Distances are cut from histograms with bounded numbers of steps, which are aggregated map-side, so that
+no task gathers a group. Null texts have no words and fail. Null languages and sources are groups of
+their own. Repeated rows count each. An empty table gives no rows. Only doc_id, text, lang and source
+are read, so that other columns may have any names. Very long texts are read whole, one row at a time.
 """
 
 from __future__ import annotations
@@ -31,12 +38,16 @@ from tessera.session import cut
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-SCALE, COVER, STEPS, MIN_GROUP = 1024, 75, 3, 200
-#: Standard deviations that every coordinate has besides its own, in the units of the vectors.
-FLOOR = (0.06, 0.25, 0.35, 0.15)
+SCALE, PRIOR_ROWS = 1024, 30
+#: Concentration steps at most, the least fall of a determinant's logarithm that counts, and bins of a distance's logarithm.
+STEPS, FALL, BINS = 6, 1e-3, 128
+#: Standard deviations that every coordinate has besides its own, in the units of the vectors. The largest value that the
+#: base rules leave of the last coordinate, 0.55, is beyond the cutoff on its own.
+FLOOR = (0.06, 0.25, 0.35, 0.1)
 D = len(FLOOR)
-#: Squared distance beyond which a vector is rejected: the 1 - 1e-7 quantile of chi-square with 4 degrees of freedom.
-CUTOFF = 38.2
+#: Quantiles of chi-square with 4 degrees of freedom: 0.975, within which rows give the final estimate, and 0.99999,
+#: beyond which a vector is rejected.
+WITHIN, CUTOFF = 11.143287, 28.473255
 #: Groups up to which a table of estimates is broadcast; a row is about 200 bytes.
 BROADCAST_GROUPS = 20_000
 
@@ -103,20 +114,27 @@ def _mahalanobis(x: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, (v * v for v in y))
 
 
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+
+
 def _factor(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Means and Cholesky factor from n, s<i>, s<i>_<j>; covariances times `factor`, floors added."""
-    f = moments
-    n = F.col("n").cast("double")
-    for i in range(D):
-        f = f.withColumn(f"m{i}", F.col(f"s{i}") / n)
+    """Means, covariances c<i>_<j> times `factor`, and with floors their Cholesky factor and determinant's logarithm, logdet.
+
+    moments: keys, n, s<i>, s<i>_<j>, and the prior's weight nu, means p<i> and covariances p<i>_<j>, which join as rows would.
+    """
+    f = moments.withColumn("w", F.col("n") + F.col("nu"))
     for i in range(D):
-        for j in range(i + 1):
-            c = (F.col(f"s{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) * factor
-            if i == j:
-                c = F.greatest(c, F.lit(0.0)) + F.lit((FLOOR[i] * SCALE) ** 2)
-            c = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), c)
-            f = f.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-3))) if i == j else c / F.col(f"l{j}_{j}"))
-    return f.select(*keys, *(f"m{i}" for i in range(D)), *(f"l{i}_{j}" for i in range(D) for j in range(i + 1)))
+        f = f.withColumn(f"m{i}", (F.col(f"s{i}") + F.col("nu") * F.col(f"p{i}")) / F.col("w"))
+    for i, j in PAIRS:
+        given = F.col("nu") * (F.col(f"p{i}_{j}") / factor + F.col(f"p{i}") * F.col(f"p{j}"))
+        c = ((F.col(f"s{i}_{j}") + given) / F.col("w") - F.col(f"m{i}") * F.col(f"m{j}")) * factor
+        f = f.withColumn(f"c{i}_{j}", F.greatest(c, F.lit(0.0)) if i == j else c)
+    for i, j in PAIRS:
+        c = F.col(f"c{i}_{j}") + (F.lit((FLOOR[i] * SCALE) ** 2) if i == j else F.lit(0.0))
+        c = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), c)
+        f = f.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-3))) if i == j else c / F.col(f"l{j}_{j}"))
+    logdet = reduce(lambda a, b: a + b, (F.log(f"l{i}_{i}") for i in range(D))) * 2
+    return f.withColumn("logdet", logdet).select(*keys, "logdet", *(f"m{i}" for i in range(D)), *(f"c{i}_{j}" for i, j in PAIRS), *(f"l{i}_{j}" for i, j in PAIRS))
 
 
 def _consistency(share: float) -> float:
@@ -128,38 +146,77 @@ def _consistency(share: float) -> float:
     return share / (1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
-KEYS = ["__level", "__lang", "__source"]
+KEYS = ["__lang", "__source"]
+OWN = [*(f"m{i}" for i in range(D)), *(f"l{i}_{j}" for i, j in PAIRS)]
 
 
-def estimates(rows: DataFrame, few: bool) -> DataFrame:
-    """Means and factors by KEYS. rows: KEYS and x0 .. x3, each row at each of its levels. few: whether the groups are."""
+def _sums(weight: Column | None = None) -> list[Column]:
+    """n, s<i> and s<i>_<j> of whole numbers, exact in any order; of the rows where `weight` holds."""
+    only = lambda c: c if weight is None else F.when(weight, c)
     x = [F.col(f"x{i}") for i in range(D)]
-    # The start: medians and quartiles, from counts of (group, coordinate, value).
-    parts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), x[i].alias("v")) for i in range(D)))).alias("c")
+    return [F.count(only(F.lit(1))).alias("n"), *(F.sum(only(x[i])).alias(f"s{i}") for i in range(D)), *(F.sum(only((x[i] * x[j]).cast("decimal(38,0)"))).alias(f"s{i}_{j}") for i, j in PAIRS)]
+
+
+def _starts(rows: DataFrame, prior: DataFrame, few: bool, shrunk: bool) -> DataFrame:
+    """KEYS, start, OWN and a logdet of null, by start 0 and 1."""
+    parts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("v")) for i in range(D)))).alias("c")
     counts = rows.select(*KEYS, parts).groupBy(*KEYS, "c.i", "c.v").agg(F.count("*").alias("n"))
     by = Window.partitionBy(*KEYS, "i")
-    upto = F.sum("n").over(by.orderBy("v"))
-    ranked = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(by))
+    ranked = counts.withColumn("upto", F.sum("n").over(by.orderBy("v"))).withColumn("all", F.sum("n").over(by))
     at = {q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))) for q in (0.25, 0.5, 0.75)}
-    start = ranked.groupBy(*KEYS).pivot("i", list(range(D))).agg(at[0.5].alias("mid"), (at[0.75] - at[0.25]).alias("wide"))
-    cols = []
-    for i in range(D):
-        cols.append(F.col(f"{i}_mid").cast("double").alias(f"m{i}"))
-        for j in range(i + 1):
-            own = F.sqrt((F.col(f"{i}_wide") / 1.349) ** 2 + F.lit((FLOOR[i] * SCALE) ** 2))
-            cols.append((own if i == j else F.lit(0.0)).alias(f"l{i}_{j}"))
-    found = cut(start.select(*KEYS, *cols))
+    middle = ranked.groupBy(*KEYS).pivot("i", list(range(D))).agg(at[0.5].alias("mid"), (at[0.75] - at[0.25]).alias("wide"))
+    cols = [F.col(f"{i}_mid").cast("double").alias(f"m{i}") for i in range(D)]
+    for i, j in PAIRS:
+        own = F.sqrt((F.col(f"{i}_wide") / 1.349) ** 2 + F.lit((FLOOR[i] * SCALE) ** 2))
+        cols.append((own if i == j else F.lit(0.0)).alias(f"l{i}_{j}"))
+    first = middle.select(*KEYS, F.lit(0).alias("start"), *cols)
+    if shrunk:
+        second = prior.select(*KEYS, F.lit(1).alias("start"), *(F.col(f"q_{c}").alias(c) for c in OWN))
+    else:
+        second = _factor(_attach(rows.groupBy(*KEYS).agg(*_sums()), prior, KEYS, few), KEYS, 1.0).select(*KEYS, F.lit(1).alias("start"), *OWN)
+    return first.unionByName(second).withColumn("logdet", F.lit(None).cast("double"))
+
+
+def concentrated(rows: DataFrame, prior: DataFrame, few: bool, shrunk: bool) -> DataFrame:
+    """KEYS, logdet and OWN of the least determinant. rows: KEYS and x0 .. x3. prior: KEYS, nu, p<i>, p<i>_<j>, and q_m<i>,
+    q_l<i>_<j>, its floored estimate, where groups are `shrunk`. few: whether the groups are."""
+    x, by = [F.col(f"x{i}") for i in range(D)], [*KEYS, "start"]
+    sizes = rows.groupBy(*KEYS).agg(F.count("*").alias("size"))
+    target = sizes.select(*KEYS, F.least(F.col("size"), F.floor((F.col("size") + D + 1) / 2)).alias("target"))
+    prior = prior.select(*KEYS, "nu", *(f"p{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in PAIRS), *(c for c in prior.columns if c.startswith("q_")))
+    found = cut(_starts(rows, prior, few, shrunk).join(target, KEYS).withColumn("moving", F.lit(True)))
+    factor = _consistency(0.5)
     for _ in range(STEPS):
-        near = _attach(rows, found, KEYS, few).withColumn("bin", F.floor(F.log1p(_mahalanobis(x)) * 256))
-        bins = near.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"))
-        own = Window.partitionBy(*KEYS)
-        bins = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
-        edge = bins.where(100 * F.col("upto") >= COVER * F.col("all")).groupBy(*KEYS).agg(F.min("bin").alias("edge"))
-        core = _attach(near, edge, KEYS, few).where("bin <= edge")
-        sums = [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(D))]
-        sums += [F.sum((x[i] * x[j]).cast("decimal(38,0)")).cast("double").alias(f"s{i}_{j}") for i in range(D) for j in range(i + 1)]
-        found = cut(_factor(core.groupBy(*KEYS).agg(*sums), KEYS, _consistency(COVER / 100)))
-    return found
+        moving = found.where("moving").select(*by, "target", *OWN)
+        near = _attach(rows, moving, KEYS, few).withColumn("bin", F.floor(F.log1p(_mahalanobis(x)) * BINS)).select(*by, "target", "bin", *(f"x{i}" for i in range(D)))
+        bins = near.groupBy(*by, "target", "bin").agg(F.count("*").alias("n"))
+        bins = bins.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("bin")))
+        edge = bins.where(F.col("upto") >= F.col("target")).groupBy(*by).agg(
+            F.min("bin").alias("edge"), F.min_by((F.col("target") - F.col("upto") + F.col("n")) / F.col("n"), "bin").alias("part")
+        )
+        core = _attach(near, edge, by, few).where("bin <= edge")
+        inner = core.groupBy(*by, "part").agg(*_sums(F.col("bin") < F.col("edge")), *(c.alias(f"e_{n}") for n, c in zip(_names(), _sums(F.col("bin") == F.col("edge")))))
+        sums = inner.select(*by, *((F.coalesce(n, F.lit(0)).cast("double") + F.col("part") * F.col(f"e_{n}").cast("double")).alias(n) for n in _names()))
+        new = _factor(_attach(sums, prior, KEYS, few), by, factor).select(*by, *(F.col(c).alias(f"new_{c}") for c in ("logdet", *OWN)))
+        both = found.join(new, by, "left")
+        falls = F.col("new_logdet").isNotNull() & (F.col("logdet").isNull() | (F.col("new_logdet") < F.col("logdet") - FALL))
+        found = cut(both.select(*by, "target", falls.alias("moving"), *(F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("logdet", *OWN))))
+        if found.where("moving").isEmpty():
+            break
+    return found.groupBy(*KEYS).agg(F.min_by(F.struct("logdet", *OWN), F.struct("logdet", "start")).alias("best")).select(*KEYS, "best.*")
+
+
+def estimates(rows: DataFrame, prior: DataFrame, few: bool, shrunk: bool) -> DataFrame:
+    """KEYS, m<i>, c<i>_<j>, l<i>_<j>: of the rows within the usual quantile of the least determinant's estimate, with the prior."""
+    x, best = [F.col(f"x{i}") for i in range(D)], concentrated(rows, prior, few, shrunk)
+    within = _attach(rows, best, KEYS, few).where(F.round(_mahalanobis(x), 6) <= WITHIN).groupBy(*KEYS).agg(*_sums())
+    # Every group has rows within: its core has some nearer than D on average.
+    final = best.select(*KEYS).join(within, KEYS, "left").na.fill(0)
+    return cut(_factor(_attach(final, prior, KEYS, few).withColumn("n", F.greatest("n", F.when(F.col("nu") > 0, 0).otherwise(1))), KEYS, _consistency(0.975)))
+
+
+def _names() -> list[str]:
+    return ["n", *(f"s{i}" for i in range(D)), *(f"s{i}_{j}" for i, j in PAIRS)]
 
 
 def reject_outliers(docs: DataFrame) -> DataFrame:
@@ -167,23 +224,19 @@ def reject_outliers(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"))
     stats = cut(base_statistics(named).drop("text").withColumn("base_failed", base_failed()).select("*", *(v.alias(f"x{i}") for i, v in enumerate(_vector()))))
     good = stats.where("NOT base_failed")
-    blank = F.lit("*")
-    levels = F.explode(F.array(
-        F.struct(F.lit(0).alias("__level"), blank.alias("__lang"), blank.alias("__source")),
-        F.struct(F.lit(1).alias("__level"), F.col("lang").alias("__lang"), blank.alias("__source")),
-        F.struct(F.lit(2).alias("__level"), F.col("lang").alias("__lang"), F.col("source").alias("__source")),
-    )).alias("k")
-    rows = good.select(levels, *(f"x{i}" for i in range(D))).select("k.*", *(f"x{i}" for i in range(D)))
-    sizes = rows.groupBy(*KEYS).agg(F.count("*").alias("size"))
-    large = cut(sizes.where((F.col("size") >= MIN_GROUP) | (F.col("__level") == 0)).drop("size"))
-    few = large.count() <= BROADCAST_GROUPS
-    found = estimates(_attach(rows, large, KEYS, few), few)
-    # The deepest level with an estimate, for each (lang, source) that occurs.
-    groups = good.select("lang", "source").distinct()
-    level = groups.select("lang", "source", levels).select("lang", "source", "k.*").join(large, KEYS)
-    level = level.groupBy("lang", "source").agg(F.max(F.struct(*KEYS)).alias("k")).select("lang", "source", "k.*")
-    own = cut(level.join(found, KEYS).drop(*KEYS))
-    joined = _attach(stats, own, ["lang", "source"], own.count() <= BROADCAST_GROUPS, "left")
+    x = [f"x{i}" for i in range(D)]
+    groups = cut(good.select("lang", "source").distinct())
+    few = groups.count() <= BROADCAST_GROUPS
+    by_lang = good.select(F.col("lang").alias("__lang"), F.lit("*").alias("__source"), *x)
+    none = [F.lit(0.0).alias(c) for c in (*(f"p{i}" for i in range(D)), *(f"p{i}_{j}" for i, j in PAIRS))]
+    free = groups.select(F.col("lang").alias("__lang"), F.lit("*").alias("__source")).distinct().select("*", F.lit(0.0).alias("nu"), *none)
+    langs = estimates(by_lang, free, few, False)
+    given = [*(F.col(f"m{i}").alias(f"p{i}") for i in range(D)), *(F.col(f"c{i}_{j}").alias(f"p{i}_{j}") for i, j in PAIRS), *(F.col(c).alias(f"q_{c}") for c in OWN)]
+    prior = groups.select(F.col("lang").alias("__lang"), F.col("source").alias("of")).join(langs.drop("__source"), "__lang")
+    prior = cut(prior.select("__lang", F.col("of").alias("__source"), F.lit(float(PRIOR_ROWS)).alias("nu"), *given))
+    own = estimates(good.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *x), prior, few, True)
+    own = own.select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), *OWN)
+    joined = _attach(stats, own, ["lang", "source"], few, "left")
     distance = F.when(~F.col("base_failed"), F.round(_mahalanobis([F.col(f"x{i}") for i in range(D)]), 6))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"),
