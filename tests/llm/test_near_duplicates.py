@@ -1,5 +1,7 @@
 """Near-duplicates: every pair of candidates is decided by its sets of shingles."""
 
+import random
+
 from tessera.llm import simhash
 
 DOCS = "doc_id long, text string"
@@ -29,3 +31,28 @@ def test_repeats_of_a_passage_count_once(spark):
     plain = own("s", 400)
     texts += [" ".join(plain), " ".join(plain[:210] + plain[200:210] * 60 + plain[210:])]  # alike but for repeats
     assert found(spark, texts) == [0, 1, 2, 3, 4, 4]
+
+
+def test_hot_cells_are_dealt_into_parts(spark, monkeypatch):
+    r = random.Random(12)
+    texts = []
+    for g in range(12):
+        words = own(f"g{g}", 60) + own("shared", 60)  # all meet in cells of the shared words
+        for _ in range(8):
+            w = list(words)
+            for _ in range(r.randint(0, 3)):
+                w[r.randint(0, 59)] = f"x{r.randint(0, 999)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    whole = simhash.simhash_components(docs).orderBy("doc_id").collect()
+    similar = found(spark, texts)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 5)
+    monkeypatch.setattr(simhash, "FEW_ROWS", 3)
+    monkeypatch.setattr(simhash, "CHUNK_ROWS", 16)
+    assert simhash.simhash_components(docs).orderBy("doc_id").collect() == whole
+    assert found(spark, texts) == similar
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(116)} for t in texts]
+    for i in range(len(texts)):  # every pair of 0.8 or more is in one group
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                assert similar[i] == similar[j]
