@@ -65,7 +65,7 @@ def test_chain_finds_tampering(spark):
     bad = chain.withColumn("payload", F.when(F.col("seq") == 3, '{"i":9}').otherwise(F.col("payload")))
     assert events.verify_chain(bad).first()["first_invalid"] == 3
     assert events.verify_chain(chain.where("seq <> 2")).first()["first_invalid"] == 3
-    assert events.verify_chain(chain.where("false")).first().asDict() == {"checked": 0, "valid": True, "first_invalid": None}
+    assert events.verify_chain(chain.where("false")).first().asDict() == {"checked": 0, "valid": True, "first_invalid": None, "last_hash": None}
 
 
 def test_entry_errors(spark):
