@@ -125,7 +125,7 @@ def sq8_decode(code: Column | str, low: list[float], high: list[float]) -> Colum
 
 
 def binary_code(vectors: DataFrame, centre: list[float]) -> DataFrame:
-    """Adds bits: the sign of each component about the centre, most significant first, as hexadecimal text."""
+    """Adds bits: a text of 0 and 1, the sign of each component about the centre, the first one first."""
     c = F.array(*(F.lit(float(x)) for x in centre))
     bits = F.transform("embedding", lambda x, i: F.when(x.cast("double") >= F.get(c, i), "1").otherwise("0"))
     return vectors.withColumn("bits", F.array_join(bits, ""))

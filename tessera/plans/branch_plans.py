@@ -93,3 +93,10 @@ def branch_merge_base(spark, sf_dir):
     merges = nation.where("n_nationkey % 7 = 3").select(n.alias("source"), after.alias("target"), (F.col("n_nationkey") + 300).cast("bigint").alias("version"))
     found = [branching.merge_base(spark, lineage, merges, f"n:{a}", f"n:{b}", 1000, 1000).select(F.lit(f"n:{a}").alias("a"), F.lit(f"n:{b}").alias("b"), "*") for a, b in _PAIRS]
     return reduce(lambda x, y: x.unionByName(y), found)
+
+
+@query("""SELECT 'order:' || o_orderkey AS key, 3::BIGINT AS version FROM orders WHERE o_orderkey % 10 = 2 UNION ALL SELECT 'order:' || o_orderkey || 'n', 4 FROM orders WHERE o_orderkey % 50 = 3
+UNION ALL SELECT 'order:' || o_orderkey, 5 FROM orders WHERE o_orderkey % 10 = 4""")
+def branch_own_entries(spark, sf_dir):
+    """What the branch has written itself after version 2."""
+    return cells.own_entries(order_cells(spark, sf_dir), "feature", 2).select("key", "version")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.operators import cells, events
 from tessera.plans.registry import query
 from tessera.plans.views import EVENT_SQL, KV_SQL, LATEST_SQL, T_US, event_log, kv_cells, share_of_events, share_sql
+from tessera.session import fresh_path
+from tessera.streaming import event_stream
 
 W = f"WITH {KV_SQL}"
 S = f"{W}, {LATEST_SQL}"
@@ -107,6 +109,34 @@ def describe(spark, sf_dir):
     return cells.describe(kv_cells(spark, sf_dir))
 
 
+@query(f"{_AS_OF} SELECT key, version, value FROM s WHERE key LIKE 'user:1%'")
+def kv_prefix_as_of(spark, sf_dir):
+    return cells.as_of(cells.prefix_scan(kv_cells(spark, sf_dir, T_US), "user:1"), T_US).select("key", "version", "value")
+
+
+@query(f"{S} SELECT key, version, value FROM s")
+def kv_merge_runs(spark, sf_dir):
+    """Three runs of the log, of interleaved versions, as one."""
+    log = kv_cells(spark, sf_dir)
+    runs = [log.where(F.col("version") % 3 == i) for i in range(3)]
+    return cells.snapshot(cells.merge_runs(*runs)).select("key", "version", "value")
+
+
+@query(f"""{S}, r AS (SELECT key, CASE WHEN max(version) % 3 = 0 THEN 0 ELSE max(version) END AS v FROM c WHERE version <= {share_sql(60)} GROUP BY key)
+SELECT r.key AS key, r.v AS expected_version, s.version AS now_version FROM r LEFT JOIN s ON r.key = s.key WHERE r.v <> coalesce(s.version, 0)""")
+def cas_conflicts(spark, sf_dir):
+    """Each key is expected at the version it had, a third of them not to exist."""
+    log = kv_cells(spark, sf_dir)
+    seen = cells.newest(log.where(F.col("version") <= share_of_events(spark, sf_dir, 60)))
+    expected = seen.select(*cells.ID, F.when(F.col("version") % 3 == 0, 0).otherwise(F.col("version")).alias("expected_version"))
+    return cells.cas_conflicts(expected, log).select("key", "expected_version", "now_version")
+
+
+@query("SELECT event_type AS space FROM events UNION SELECT 'default'")
+def kv_spaces(spark, sf_dir):
+    return cells.spaces(event_log(spark, sf_dir).select(F.col("event_type").alias("space")))
+
+
 E = f"WITH {EVENT_SQL}"
 
 
@@ -169,3 +199,36 @@ def compact_with_forks(spark, sf_dir):
     at = {p: share_of_events(spark, sf_dir, p) for p in (30, 60, 80)}
     log = kv_cells(spark, sf_dir)
     return cells.prune(log, at[80], None, T_US, [("main", at[30]), ("main", at[60])]).select("key", "version")
+
+
+@query(f"{E} SELECT seq, payload FROM e WHERE event_type = 'purchase' AND ts_us <= {T_US}")
+def event_by_type_as_of(spark, sf_dir):
+    return events.by_type(event_log(spark, sf_dir, until_us=T_US), "purchase", as_of_us=T_US).select("seq", "payload")
+
+
+@query(f"""{E} SELECT seq, CASE seq % 5 WHEN 0 THEN 'the event type is empty' WHEN 1 THEN 'the event type is longer than 256 bytes'
+WHEN 2 THEN 'the payload is no JSON object of finite numbers' WHEN 3 THEN 'the payload is no JSON object of finite numbers' END AS error FROM e""")
+def event_entry_errors(spark, sf_dir):
+    """Events, four of five of which are spoilt in one way each."""
+    nth = F.col("seq") % 5
+    kind = F.when(nth == 0, F.lit("  ")).when(nth == 1, F.repeat(F.lit("x"), 257)).otherwise(F.col("event_type")).alias("event_type")
+    payload = F.when(nth == 2, F.lit("[1]")).when(nth == 3, F.lit('{"a": NaN}')).otherwise(F.col("payload")).alias("payload")
+    return events.entry_errors(event_log(spark, sf_dir).select("seq", kind, payload)).select("seq", "error")
+
+
+@query(f"{E} SELECT seq, event_type, payload FROM e WHERE seq % 4 <> 0")
+def event_stream_ingest(spark, sf_dir):
+    """The events as files of a stream, every fourth without a type; read to its end, the valid ones land in a log."""
+    path = fresh_path(spark, "stream")
+    log = event_log(spark, sf_dir)
+    kind = F.when(F.col("seq") % 4 != 0, F.col("event_type")).alias("event_type")
+    log.select("seq", kind, "payload", F.timestamp_micros("ts_us").alias("ts")).write.parquet(f"{path}/in")
+    event_stream.ingest(event_stream.source(spark, f"{path}/in"), f"{path}/log", f"{path}/state").awaitTermination()
+    return spark.read.schema(event_stream.SCHEMA).parquet(f"{path}/log").select("seq", "event_type", "payload")
+
+
+@query(f"{E} SELECT ts_us // 3600000000 AS hour, event_type, count(*) AS n FROM e GROUP BY 1, 2")
+def event_windowed_counts(spark, sf_dir):
+    log = event_log(spark, sf_dir).select("event_type", F.timestamp_micros("ts_us").alias("ts"))
+    hour = F.floor(F.unix_micros("window.start") / F.lit(3_600_000_000)).cast("bigint").alias("hour")
+    return event_stream.windowed_counts(log).select(hour, "event_type", "n")

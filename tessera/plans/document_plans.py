@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonpath
-from tessera.operators import documents, vectors
+from tessera.operators import cells, documents, vectors
 from tessera.operators.documents import And, Eq, Index, Or, Prefix, Range
 from tessera.plans.registry import query
 from tessera.plans.views import HOUR_US, T_US, VECTOR_SQL, part_docs, vector_rows
@@ -84,6 +84,13 @@ def json_flatten_export(spark, sf_dir):
     return documents.flatten_export(part_docs(spark, sf_dir))
 
 
+@query("""WITH k AS (SELECT 'part:' || p_partkey AS doc_id FROM part)
+SELECT doc_id, (SELECT count(*) FROM k WHERE doc_id > 'part:10') > 5 AS has_more FROM k WHERE doc_id > 'part:10' AND EXISTS (SELECT 1 FROM k WHERE doc_id = 'part:10') ORDER BY doc_id LIMIT 5""")
+def json_page_after(spark, sf_dir):
+    keys = part_docs(spark, sf_dir).select(F.col("doc_id").alias("key"))
+    return cells.page_after_member(keys, 5, "part:10").select(F.col("key").alias("doc_id"), "has_more")
+
+
 V = f"WITH {VECTOR_SQL}"
 
 
@@ -141,3 +148,26 @@ def vector_sq8(spark, sf_dir):
     rows = vector_rows(spark, sf_dir)
     coded = vectors.sq8(rows, *vectors.sq8_bounds(rows, 64))
     return coded.select("vec_key", F.aggregate("code", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("code_sum"))
+
+
+@query(f"""{V} SELECT vec_key, round(list_cosine_similarity(e, q), 6) AS score FROM v, q WHERE deleted_us IS NULL AND label IN (1, 3, 4) AND label < 4
+ORDER BY list_cosine_similarity(e, q) DESC, vec_key LIMIT 10""")
+def vector_knn_in_list(spark, sf_dir):
+    return _knn(spark, sf_dir, 10, filters=[("label", "in", [1, 3, 4]), ("label", "lt", 4)])
+
+
+@query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+b AS (SELECT i, min(x) AS lo, (max(x) - min(x)) / 255 AS st FROM x GROUP BY i)
+SELECT vec_id AS vec_key, round(max(abs(lo + st * greatest(0, least(255, round((x - lo) / st)::BIGINT)) - x)), 6) AS worst FROM x JOIN b USING (i) GROUP BY 1""")
+def vector_sq8_decode(spark, sf_dir):
+    """How far the worst component comes back from its code."""
+    rows = vector_rows(spark, sf_dir)
+    low, high = vectors.sq8_bounds(rows, 64)
+    back = vectors.sq8_decode("code", low, high)
+    gaps = F.zip_with(back, "embedding", lambda a, b: F.abs(a - b.cast("double")))
+    return vectors.sq8(rows, low, high).select("vec_key", F.round(F.array_max(gaps), 6).alias("worst"))
+
+
+@query("""SELECT vec_id AS vec_key, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings""")
+def vector_binary_code(spark, sf_dir):
+    return vectors.binary_code(vector_rows(spark, sf_dir), [0.0] * 64).select("vec_key", "bits")

@@ -149,3 +149,32 @@ def graph_ontology_violations(spark, sf_dir):
 def graph_edge_violations(spark, sf_dir):
     edges = place_edges(spark, sf_dir)
     return graph.edge_violations(edges, _typed_nodes(edges), _ontology(spark)[1])
+
+
+@query(f"{G} SELECT node_id FROM ids WHERE NOT (node_id[1] = 's' AND node_id[-1] = '3')")
+def graph_cascade_nodes(spark, sf_dir):
+    """Suppliers are bound to entities of their own name; entities whose names end in 3 are deleted, and their nodes go."""
+    return _cascaded(spark, sf_dir)[0].select("node_id")
+
+
+@query(f"{G} SELECT src, dst, edge_type FROM g WHERE NOT (src[1] = 's' AND src[-1] = '3')")
+def graph_cascade_edges(spark, sf_dir):
+    return _cascaded(spark, sf_dir)[1].select("src", "dst", "edge_type")
+
+
+def _cascaded(spark, sf_dir):
+    edges = place_edges(spark, sf_dir)
+    ref = F.when(F.col("node_id").startswith("s:"), F.concat(F.lit("entity/"), F.col("node_id")))
+    nodes = graph.node_ids(None, edges).select("node_id", ref.alias("entity_ref"))
+    deleted = table(spark, sf_dir, "supplier").select(F.concat(F.lit("entity/s:"), F.col("s_suppkey").cast("string")).alias("entity_ref")).where(F.col("entity_ref").endswith("3"))
+    gone, _ = graph.cascade(nodes, deleted, "cascade")
+    return graph.without_nodes(nodes, edges, gone)
+
+
+@query("""SELECT 'link type ' || n_name || ' needs object type ' || n_name AS error FROM nation WHERE n_nationkey % 2 = 1""")
+def graph_freeze_errors(spark, sf_dir):
+    """Regions and even nations are object types; every nation is a link type from its region to itself."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    links = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("source"), F.col("n_name").alias("target"))
+    objects = region.select(F.col("r_name").alias("name")).unionByName(nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name")))
+    return graph.freeze_errors(objects, links)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import documents
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.plans.views import part_docs
+from tessera.session import fresh_path, table
 from tessera.sources import interchange
 
 
@@ -31,14 +33,32 @@ def import_vectors(spark, sf_dir):
 
 @query("SELECT s_suppkey::VARCHAR AS key, s_name AS name, s_nationkey AS nation FROM supplier")
 def export_round_trip(spark, sf_dir):
-    from tessera.session import fresh_path
-
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
     path = fresh_path(spark, "export") + ".parquet"
     interchange.write(rows, path)
     return interchange.read(spark, path).select("key", "name", "nation")
 
 
+@query("""SELECT c_custkey::VARCHAR AS key, 'said "' || c_name || '",' || chr(10) || 'twice' AS value FROM customer""")
+def export_csv_round_trip(spark, sf_dir):
+    """Values with quotes, commas and line feeds, through CSV."""
+    value = F.concat(F.lit('said "'), F.col("c_name"), F.lit('",\ntwice')).alias("value")
+    path = fresh_path(spark, "export") + ".csv"
+    interchange.write(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), value), path)
+    return interchange.to_kv(interchange.read(spark, path)).select("key", "value")
+
+
+@query("""SELECT 'part:' || p_partkey AS key, p_brand AS brand, p_type AS kind, p_name AS name, p_size::VARCHAR AS size FROM part""")
+def export_kv_table(spark, sf_dir):
+    leaves = documents.flatten_export(part_docs(spark, sf_dir)).where("path <> 'tags'")
+    return interchange.kv_table(leaves, ["maker.brand", "maker.kind", "name", "size"]).toDF("key", "brand", "kind", "name", "size")
+
+
+@query("SELECT count(*) AS rows_skipped FROM customer WHERE c_custkey % 2 <> 0")
+def import_rows_skipped(spark, sf_dir):
+    return interchange.skipped(table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("key")))
+
+
 @query("""SELECT n_name, r_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
 def relational_join_aggregate(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
