@@ -29,6 +29,8 @@ from tessera.sources import interchange
 VERSION = "0.1.0"
 MAIN = "default"
 SYSTEM = "_system"
+#: Entries that wait to be embedded before a batch is made of them.
+EMBED_BATCH = 512
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -61,6 +63,7 @@ class Engine:
         self.branch, self.space = MAIN, "default"
         self.settings: dict[str, str] = {}
         self._txn: dict | None = None
+        self._pending: dict[tuple, None] = {}
         self._commands = {command_name(m): m for m in dir(self) if m[0] != "_" and m not in ("execute", "frame") and callable(getattr(type(self), m, None))}
         try:
             self._head = self._raw().agg(F.max("version")).first()[0] or 0
@@ -110,6 +113,7 @@ class Engine:
         self._head += 1
         out = self._cells(rows, self._head)
         self.spark.createDataFrame(out, cells.SCHEMA).coalesce(1).write.mode("append").partitionBy("type_tag").parquet(self._folder())
+        self._queue(rows)
         return self._head
 
     def _cells(self, rows: list[tuple], version: int) -> list[tuple]:
@@ -132,11 +136,11 @@ class Engine:
             row = self._branch_row(row["parent"])
         return out
 
-    def _log(self, tag: str, branch: str | None = None) -> DataFrame:
-        """The versions of a type as the branch sees them."""
+    def _log(self, tag: str | tuple[str, ...], branch: str | None = None) -> DataFrame:
+        """The versions of a type, or of several, as the branch sees them."""
         name = branch or self.branch
         start = (self._branch_row(name) or {}).get("born", 0)
-        seen = self._raw().where(F.col("type_tag") == tag)
+        seen = self._raw().where(F.col("type_tag").isin([tag] if isinstance(tag, str) else list(tag)))
         return cells.fork_view(seen.where((F.col("branch") != name) | (F.col("version") >= start)), self._lineage(name), name)
 
     def frame(self, tag: str, as_of: int | None = None, branch: str | None = None, space: str | None = None) -> DataFrame:
@@ -184,8 +188,14 @@ class Engine:
         return {"value": values.decode(row["value_type"], row["value"]), "version": row["version"], "timestamp": row["ts_us"]}
 
     def _prefix(self, tag: str, prefix: str) -> DataFrame:
+        self._scanned(tag, prefix)
         return cells.prefix_scan(self.frame(tag), prefix)
 
+    def _scanned(self, tag: str, prefix: str = "", start: str = "", as_of: int | None = None) -> None:
+        """Notes that a transaction has read all keys of a type that begin so, from a start on."""
+        if self._txn is not None and as_of is None:
+            self._txn["scans"].add((self.branch, self.space, tag, prefix, start))
+
     # Key-value cells
 
     def kv_put(self, key: str, value, ttl_ms: int | None = None) -> int:
@@ -203,11 +213,13 @@ class Engine:
         return there
 
     def kv_list(self, prefix: str = "", cursor: str | None = None, limit: int = 1000, as_of: int | None = None) -> dict:
+        self._scanned("kv", prefix, as_of=as_of)
         rows = cells.page(self.frame("kv", as_of), limit, prefix, cursor).orderBy("key").collect()
         keys = [r["key"] for r in rows]
         return {"keys": keys, "has_more": bool(rows) and rows[0]["has_more"], "cursor": keys[-1] if keys else None}
 
     def kv_scan(self, start: str | None = None, limit: int | None = None) -> list[tuple]:
+        self._scanned("kv", start=start or "")
         return [(r["key"], values.decode(r["value_type"], r["value"])) for r in cells.range_scan(self.frame("kv"), start, limit).collect()]
 
     def kv_batch_put(self, entries: dict[str, object]) -> list[str | None]:
@@ -319,6 +331,7 @@ class Engine:
         return [self.json_delete(k, p) for k, p in entries]
 
     def json_list(self, prefix: str = "", cursor: str | None = None, limit: int = 1000, as_of: int | None = None) -> dict:
+        self._scanned("json", prefix, as_of=as_of)
         rows = self.frame("json", as_of)
         some = cells.page(rows, limit, prefix) if cursor is None else cells.page_after_member(rows, limit, cursor, prefix)
         got = some.orderBy("key").collect()
@@ -357,7 +370,8 @@ class Engine:
         schema = "seq bigint, event_type string, payload string, ts_us bigint, prev_hash string, hash string"
         rows = self.frame("event", as_of)
         e = F.from_json("value", schema)
-        return rows.select("branch", "space", e.alias("e")).select("branch", "space", "e.*")
+        rows = rows.select("branch", "space", e.alias("e")).select("branch", "space", "e.*")
+        return rows if as_of is None else rows.where(F.col("ts_us") <= as_of)
 
     def event_batch_append(self, entries: list[tuple]) -> list:
         """entries (event_type, payload); each one's sequence, or why it was refused."""
@@ -578,16 +592,25 @@ class Engine:
 
     _MERGED = ("kv", "json", "event", "vector", "collection", "graph", "node", "edge", "object_type", "link_type")
 
-    def _snapshot(self, branch: str, version: int | None = None, as_of: int | None = None) -> DataFrame:
-        parts = None
-        for tag in self._MERGED:
-            log = self._log(tag, branch)
-            snap = cells.as_of(log, as_of) if as_of is not None else cells.snapshot(log, version, self.clock())
-            parts = snap if parts is None else parts.unionByName(snap)
-        return parts
+    def _snapshot(self, branch: str, version: int | None = None, as_of: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        log = branching.among(self._log(self._MERGED, branch), keys)
+        return cells.as_of(log, as_of) if as_of is not None else cells.snapshot(log, version, self.clock())
+
+    def _touched(self, a: str, b: str) -> DataFrame | None:
+        """The keys that either branch wrote since they parted; None if they share no past."""
+        chains = []
+        for name in (a, b):
+            chain = {name: self._head}
+            for parent, fork in self._lineage(name):
+                chain[parent] = min(fork, *chain.values())
+            chains.append(chain)
+        born = {n: self.branch_get(n).get("born", 0) for n in (a, b)}  # what an earlier branch of that name wrote is not its own
+        shared = {n: (born.get(n, 0), min(c[n] for c in chains)) for n in chains[0] if n in chains[1]}
+        return branching.touched(self._log(self._MERGED, a), self._log(self._MERGED, b), shared) if shared else None
 
     def branch_diff(self, branch_a: str, branch_b: str, filter_primitives: list[str] | None = None, filter_spaces: list[str] | None = None, as_of: int | None = None) -> DataFrame:
-        out = branching.diff(self._snapshot(branch_a, as_of=as_of), self._snapshot(branch_b, as_of=as_of))
+        keys = self._touched(branch_a, branch_b)
+        out = branching.diff(self._snapshot(branch_a, as_of=as_of, keys=keys), self._snapshot(branch_b, as_of=as_of, keys=keys))
         out = out if filter_primitives is None else out.where(F.col("type_tag").isin(filter_primitives))
         return out if filter_spaces is None else out.where(F.col("space").isin(filter_spaces))
 
@@ -602,10 +625,12 @@ class Engine:
         return row.asDict() if row else None
 
     def _three(self, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What source and target have in common and what they have now, of the keys that either wrote since the fork."""
         base = self.branch_merge_base(source, target)
         if base is None:
             raise Conflict(f"{source} and {target} have no common past")
-        return self._snapshot(base["branch"], version=base["version"]), self._snapshot(source), self._snapshot(target)
+        keys = self._touched(source, target)
+        return self._snapshot(base["branch"], version=base["version"], keys=keys), self._snapshot(source, keys=keys), self._snapshot(target, keys=keys)
 
     def branch_diff_three_way(self, branch_a: str, branch_b: str) -> DataFrame:
         return branching.three_way_diff(*self._three(branch_a, branch_b))
@@ -636,13 +661,15 @@ class Engine:
             raise Conflict("both event logs grew since the fork")
         if found.where("type_tag = 'collection' AND outcome IN ('conflict', 'both_added_different')").count():
             raise Conflict("a collection has another dimension or metric on the other branch")
+        if not branching.lost_graphs(found).isEmpty():
+            raise Conflict("a graph was deleted on one branch and written to on the other")
         try:
             actions = branching.merge(anc, src, tgt, strategy == "strict")
         except branching.MergeConflict as e:
             raise Conflict(str(e)) from e
         conflicts = branching.conflicts(found).count()
         actions = cut(actions)
-        self._check_dangling(branching.apply(tgt, actions))
+        self._check_dangling(branching.apply(self._snapshot(target).where("type_tag IN ('node', 'edge')"), actions))
         at = self._head
         version = self._commit_actions(target, actions)
         self._system_put("merge", f"{version:020d}", {"source": source, "target": target, "version": at, "message": message, "creator": creator})
@@ -752,10 +779,10 @@ class Engine:
     def txn_begin(self, options: dict | None = None) -> None:
         if self._txn is not None:
             raise TransactionState("a transaction is open already")
-        self._txn = {"at": self._head, "rows": {}, "reads": {}, "id": str(uuid.uuid4())}
+        self._txn = {"at": self._head, "rows": {}, "reads": {}, "scans": set(), "id": str(uuid.uuid4())}
 
     def txn_commit(self) -> int:
-        """First committer wins: a key that was read and has another version by now aborts. Keys only written never do."""
+        """First committer wins: a key that was read, alone or in a scan, and has another version by now aborts. Keys only written never do."""
         if self._txn is None:
             raise TransactionState("no transaction is open")
         txn, self._txn = self._txn, None
@@ -766,6 +793,11 @@ class Engine:
             for tag in {name[2] for name in txn["reads"]}:
                 if not cells.read_conflicts(seen.where(F.col("type_tag") == tag), cells.snapshot(self._log(tag))).isEmpty():
                     raise Conflict("what the transaction read has changed")
+        for branch, space, tag, prefix, start in txn["scans"]:
+            log = cells.prefix_scan(self._log(tag, branch), prefix).where((F.col("space") == space) & (F.col("key") >= start))
+            newer = log.where(F.col("version") > txn["at"])
+            if not newer.join(cells.snapshot(log, txn["at"]), cells.ID, "left_semi").isEmpty():
+                raise Conflict("what the transaction scanned has changed")
         return self._append(list(txn["rows"].values()))
 
     def txn_rollback(self) -> None:
@@ -802,8 +834,35 @@ class Engine:
     def metrics(self) -> dict:
         return {"head": self._head, "rows": self._raw().count(), "default_parallelism": self.spark.sparkContext.defaultParallelism}
 
+    def retention_report(self) -> list[dict]:
+        """What each branch holds, how much of it other branches see, and what it inherits; deleted branches that others see have no status."""
+        live = {b["name"]: b for b in self.branch_list()}
+        rows = []
+        for name in live:
+            bound = self._head
+            for parent, fork in self._lineage(name):
+                bound = min(bound, fork)
+                rows.append((name, parent, bound))
+        seen = self.spark.createDataFrame(rows, "branch string, parent string, bound bigint")
+        found = cells.retention(self._raw().where(F.col("branch") != SYSTEM), seen).orderBy("branch").collect()
+        return [{**r.asDict(), "status": live[r["branch"]]["status"] if r["branch"] in live else None, "inherits": [(p, at) for n, p, at in rows if n == r["branch"]]} for r in found]
+
     def flush(self) -> None:
-        """Every commit is written when it returns."""
+        """Every commit is written when it returns; what waits to be embedded is embedded."""
+        if not self._pending:
+            return
+        self._no_txn()
+        at = self.branch, self.space
+        try:
+            for branch, space in dict.fromkeys(name[:2] for name in self._pending):
+                names = [name for name in self._pending if name[:2] == (branch, space)]
+                if self.branch_exists(branch):
+                    self.branch, self.space = branch, space
+                    self._embed_rows(self.corpus().where(F.col("doc_ref").isin([ref for *_, ref in names])), "embedded")
+                for name in names:
+                    del self._pending[name]
+        finally:
+            self.branch, self.space = at
 
     def compact(self, floor: int | None = None, max_versions: int | None = None) -> int:
         """Rewrites the log without what pruning drops, in few files. What forks and merges see stays.
@@ -836,10 +895,7 @@ class Engine:
         return self._raw().count()
 
     def describe(self) -> DataFrame:
-        log = None
-        for tag in self._MERGED:
-            log = self._log(tag) if log is None else log.unionByName(self._log(tag))
-        return cells.describe(log)
+        return cells.describe(self._log(self._MERGED))
 
     def time_range(self) -> dict:
         return cells.time_range(self._raw().where(F.col("branch") == self.branch)).first().asDict()
@@ -1075,14 +1131,27 @@ class Engine:
 
         return Tokenizer.from_file(model).decode(ids)
 
+    def _queue(self, rows: list[tuple]) -> None:
+        """With auto-embedding, what was committed waits until EMBED_BATCH entries do, or flush is called."""
+        if not self.auto_embed_status() or self.embedder is None:
+            return
+        for branch, space, tag, key, _, dead, *_ in rows:
+            if branch != SYSTEM and tag in ("kv", "json", "event") and not dead:
+                self._pending[(branch, space, f"{tag}:{int(key) if tag == 'event' else key}")] = None
+        if len(self._pending) >= EMBED_BATCH:
+            self.flush()
+
     def embed_status(self) -> dict:
-        return {"auto_embed": self.auto_embed_status(), "pending": 0}
+        return {"auto_embed": self.auto_embed_status(), "pending": len(self._pending), "batch_size": EMBED_BATCH}
 
     def reindex_embeddings(self, collection: str = "embedded") -> int:
         """Embeds everything that can be found, as one collection."""
-        corpus, embed, now = self.corpus(), self.embedder, self.clock()
+        return self.vector_count(collection) if self._embed_rows(self.corpus(), collection) else 0
+
+    def _embed_rows(self, corpus: DataFrame, collection: str) -> bool:
+        embed, now = self.embedder, self.clock()
         if corpus.isEmpty():
-            return 0
+            return False
         if self._doc("collection", collection) is None:
             self.vector_create_collection(collection, len(self.embed("a")))
         ship(self.spark)
@@ -1095,7 +1164,7 @@ class Engine:
         key = F.concat(F.lit(f"{collection}/"), F.translate("doc_ref", "/", ":"))
         rows = corpus.select(F.lit(self.space).alias("space"), F.lit("vector").alias("type_tag"), key.alias("key"), F.lit("put").alias("action"), cell("text").alias("value"))
         self._commit_actions(self.branch, rows)
-        return self.vector_count(collection)
+        return True
 
     # Graphs
 
@@ -1174,6 +1243,34 @@ class Engine:
         rows = self.frame("node").where(F.col("key") == f"{graph}/{node_id}").unionByName(edges)
         self._commit_actions(self.branch, rows.select("space", "type_tag", "key", F.lit("delete").alias("action"), "value"))
 
+    def _bound_nodes(self, refs: list[str]) -> DataFrame:
+        """(node_id: graph/node, entity_ref, policy, value) of the nodes of all graphs that stand for one of the entities."""
+        policy = F.get_json_object("value", "$.cascade_policy").alias("policy")
+        graphs_ = self.frame("graph").select(F.col("key").alias("graph"), policy)
+        nodes = self.frame("node").select(F.col("key").alias("node_id"), F.split("key", "/")[0].alias("graph"), F.get_json_object("value", "$.entity_ref").alias("entity_ref"), "value")
+        return nodes.where(F.col("entity_ref").isin(refs)).join(graphs_, "graph", "left").na.fill("ignore", ["policy"])
+
+    def graph_nodes_for_entity(self, entity_ref: str) -> list[tuple[str, str]]:
+        return [tuple(r["node_id"].split("/")) for r in self._bound_nodes([entity_ref]).orderBy("node_id").collect()]
+
+    def graph_entities_deleted(self, refs: list[str]) -> int:
+        """Entities went: their nodes go with their edges, lose the reference, or stay, as the policy of each graph says."""
+        self._no_txn()
+        nodes = cut(self._bound_nodes(refs))
+        wanted = self.spark.createDataFrame([(r,) for r in refs], "entity_ref string")
+        gone = graphs.cascade(nodes.where("policy = 'cascade'"), wanted, "cascade")[0]
+        freed = nodes.join(graphs.cascade(nodes.where("policy = 'detach'"), wanted, "detach")[1], "node_id", "left_semi")
+        part = lambda i: F.concat_ws("/", F.split("key", "/")[0], F.split("key", "/")[i])
+        edges = self.frame("edge").select("key", F.explode(F.array_distinct(F.array(part(1), part(2)))).alias("node_id"))
+        edges = edges.join(gone, "node_id", "left_semi").select("key").distinct()
+        v = F.from_json("value", "object_type string, properties string")
+        free = F.to_json(F.struct(F.lit(None).cast("string").alias("entity_ref"), v["object_type"].alias("object_type"), v["properties"].alias("properties")), {"ignoreNullFields": "false"})
+        row = lambda rows, tag, key, action, value: rows.select(F.lit(self.space).alias("space"), F.lit(tag).alias("type_tag"), F.col(key).alias("key"), F.lit(action).alias("action"), value.alias("value"))
+        none = F.lit(None).cast("string")
+        actions = row(gone, "node", "node_id", "delete", none).unionByName(row(edges, "edge", "key", "delete", none)).unionByName(row(freed, "node", "node_id", "put", free))
+        self._commit_actions(self.branch, actions)
+        return nodes.count()
+
     def graph_list_nodes(self, graph: str, as_of: int | None = None) -> list[str]:
         return [r["node_id"] for r in self._nodes(graph, as_of).orderBy("node_id").collect()]
 

@@ -8,6 +8,7 @@ over their union, so one shuffle serves for what would be two full outer joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,35 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change IS NOT NULL").select(*KEY, "change", F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b"))
 
 
+def touched(a: DataFrame, b: DataFrame, shared: dict[str, tuple[int, int]]) -> DataFrame:
+    """KEY of every key of which one of two branches' views (fork_view) holds a version that the other does not see.
+
+    shared: by the branch that wrote them, the first and the last version that both see. Other keys are alike on both.
+    """
+    both = reduce(lambda x, y: x | y, [(F.col("origin") == n) & F.col("version").between(*v) for n, v in shared.items()], F.lit(False))
+    return a.where(~both).select(*KEY).unionByName(b.where(~both).select(*KEY)).distinct()
+
+
+def among(cells: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """The rows of these keys; all, if there is no table of keys."""
+    return cells if keys is None else cells.join(keys, KEY, "left_semi")
+
+
+def lost_graphs(classified: DataFrame) -> DataFrame:
+    """(space, graph): graphs that one side deleted while the other wrote to their nodes or edges."""
+    graph = F.split("key", "/")[0].alias("graph")
+    sides = [
+        (["source_deleted", "delete_modify_conflict"], ["target_added", "target_changed", "delete_modify_conflict"]),
+        (["target_deleted", "modify_delete_conflict"], ["source_added", "source_changed", "modify_delete_conflict"]),
+    ]
+    parts = []
+    for gone, written in sides:
+        graphs = classified.where((F.col("type_tag") == "graph") & F.col("outcome").isin(gone)).select("space", F.col("key").alias("graph"))
+        work = classified.where(F.col("type_tag").isin("node", "edge") & F.col("outcome").isin(written)).select("space", graph)
+        parts.append(graphs.join(work, ["space", "graph"], "left_semi"))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def classify(ancestor: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """KEY, anc, src, tgt and outcome of every key that any of the three has. The 14 outcomes:
 

@@ -145,6 +145,30 @@ def own_entries(cells: DataFrame, branch: str, after: int) -> DataFrame:
     return cells.where((F.col("branch") == branch) & (F.col("version") > after))
 
 
+def retention(cells: DataFrame, seen: DataFrame) -> DataFrame:
+    """(branch, own_rows, own_bytes, shared_rows, shared_bytes, inherited_rows, inherited_bytes) of every branch.
+
+    seen (branch, parent, bound): the branch sees the parent's versions up to the bound. Own versions are shared
+    if a branch sees them, and stay as long as it does. The log is aggregated by commit before anything is joined.
+    """
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    commits = cells.groupBy("branch", "version").agg(F.count("*").alias("n"), F.sum(size.cast("bigint")).alias("z"))
+    most = F.max("bound").alias("most")
+    own = commits.join(seen.groupBy(F.col("parent").alias("branch")).agg(most), "branch", "left")
+    shared = F.col("version") <= F.col("most")
+    own = own.groupBy("branch").agg(
+        F.sum("n").alias("own_rows"), F.sum("z").alias("own_bytes"),
+        F.coalesce(F.sum(F.when(shared, F.col("n"))), F.lit(0)).alias("shared_rows"), F.coalesce(F.sum(F.when(shared, F.col("z"))), F.lit(0)).alias("shared_bytes"),
+    )
+    bounds = seen.select(F.col("parent").alias("branch"), F.col("bound").alias("version")).distinct()
+    marked = commits.withColumn("bound", F.lit(False)).unionByName(bounds.select("*", F.lit(0).alias("n"), F.lit(0).alias("z"), F.lit(True).alias("bound")))
+    upto = Window.partitionBy("branch").orderBy("version").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = marked.select(F.col("branch").alias("parent"), "version", "bound", F.sum("n").over(upto).alias("n"), F.sum("z").over(upto).alias("z"))
+    sums = sums.where("bound").select("parent", F.col("version").alias("bound"), "n", "z")
+    inherited = seen.join(sums, ["parent", "bound"]).groupBy("branch").agg(F.sum("n").alias("inherited_rows"), F.sum("z").alias("inherited_bytes"))
+    return own.join(inherited, "branch", "full_outer").na.fill(0)
+
+
 def prune(
     cells: DataFrame, floor: int, max_versions: int | None, now_us: int, bounds: list[tuple[str, int]] = (), inheriting: list[str] = (),
 ) -> DataFrame:

@@ -32,6 +32,34 @@ def branch_diff(spark, sf_dir):
     return branching.diff(source, target).select("key", "change", "value_a", "value_b")
 
 
+@query(f"""{K} SELECT key, CASE WHEN NOT hb THEN 'added' WHEN NOT hc THEN 'removed' ELSE 'modified' END AS change, b AS value_a, c AS value_b FROM t
+WHERE (hb OR hc) AND (NOT hb OR NOT hc OR b IS DISTINCT FROM c)""")
+def branch_diff_since_fork(spark, sf_dir):
+    """The same difference, of the keys alone that one of the branches wrote since the fork."""
+    log = order_cells(spark, sf_dir)
+    main, feature = cells.fork_view(log, [], "main"), cells.fork_view(log, [("main", 0)], "feature")
+    keys = branching.touched(feature, main, {"main": (0, 0)})
+    return branching.diff(*(cells.snapshot(branching.among(v, keys)) for v in (feature, main))).select("key", "change", "value_a", "value_b")
+
+
+@query("""WITH m AS (SELECT max(o_orderkey) AS t FROM orders),
+l AS (SELECT 'b' || o_orderkey % 4 AS branch, o_orderkey AS version, strlen('order:' || o_orderkey) + strlen(coalesce(o_orderpriority, '')) AS z FROM orders),
+s AS (SELECT 'b1' AS branch, 'b0' AS parent, t // 2 AS bound FROM m UNION ALL SELECT 'b2', 'b0', t // 3 FROM m UNION ALL SELECT 'b3', 'b2', t // 4 FROM m UNION ALL SELECT 'b3', 'b0', t // 4 FROM m),
+o AS (SELECT branch, count(*) AS n, sum(z) AS z, count(*) FILTER (version <= most) AS sn, sum(z) FILTER (version <= most) AS sz
+  FROM l LEFT JOIN (SELECT parent, max(bound) AS most FROM s GROUP BY 1) p ON parent = branch GROUP BY 1),
+i AS (SELECT s.branch, count(*) AS n, sum(z) AS z FROM s JOIN l ON l.branch = parent AND version <= bound GROUP BY 1)
+SELECT o.branch, o.n::BIGINT AS own_rows, o.z::BIGINT AS own_bytes, sn::BIGINT AS shared_rows, coalesce(sz, 0)::BIGINT AS shared_bytes,
+  coalesce(i.n, 0)::BIGINT AS inherited_rows, coalesce(i.z, 0)::BIGINT AS inherited_bytes FROM o LEFT JOIN i ON i.branch = o.branch""")
+def branch_retention(spark, sf_dir):
+    """Orders dealt to four branches; the last is forked from the third, which is forked from the first."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("bigint")
+    log = orders.select(F.concat(F.lit("b"), (key % 4).cast("string")).alias("branch"), key.alias("version"), F.concat(F.lit("order:"), key.cast("string")).alias("key"), F.col("o_orderpriority").alias("value"))
+    forks = spark.createDataFrame([("b1", "b0", 2), ("b2", "b0", 3), ("b3", "b2", 4), ("b3", "b0", 4)], "branch string, parent string, part int")
+    seen = forks.crossJoin(orders.agg(F.max(key).alias("t"))).select("branch", "parent", F.expr("t div part").alias("bound"))
+    return cells.retention(log, seen)
+
+
 @query(f"{K} SELECT key, outcome, a AS ancestor_value, b AS source_value, c AS target_value FROM k WHERE outcome <> 'unchanged'")
 def branch_diff3(spark, sf_dir):
     return branching.three_way_diff(*_three(spark, sf_dir)).drop("space", "type_tag")
