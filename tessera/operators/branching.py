@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import jsonpath
-from tessera.operators.cells import newest
-from tessera.session import ship
+from tessera.session import ship, spread
 
 KEY = ["space", "type_tag", "key"]
 CELL = {"value": "string", "ttl_ms": "bigint", "value_type": "string"}
@@ -37,7 +36,19 @@ def _aligned(sides: dict[str, DataFrame]) -> DataFrame:
     for name, snap in sides.items():
         marked = _mark(snap, name)
         rows = marked if rows is None else rows.unionByName(marked)
-    return rows.groupBy(*KEY).agg(*(F.max(F.when(F.col("side") == s, F.col("cell"))).alias(s) for s in sides))
+    return spread(rows, *KEY).groupBy(*KEY).agg(*(F.max(F.when(F.col("side") == s, F.col("cell"))).alias(s) for s in sides))
+
+
+def sides(log: DataFrame, seen: dict[str, Column], alive: Column) -> DataFrame:
+    """KEY and, for each side, the struct CELL of the newest version that it sees; null where that is dead, or there is none.
+
+    The sides are taken from one reading and one shuffle of the log, in parts of bounded size, so there are no snapshots to align.
+    """
+    parts = [F.col(c) if c in log.columns else F.lit(None).cast(t).alias(c) for c, t in CELL.items()]
+    at = [F.when(sees, F.col("version")).alias(f"_{name}") for name, sees in seen.items()]
+    rows = spread(log.select(*KEY, F.when(alive, F.struct(*parts)).alias("_cell"), *at), *KEY)
+    both = rows.groupBy(*KEY).agg(*(F.max_by("_cell", f"_{name}").alias(name) for name in seen))
+    return both.where(reduce(lambda x, y: x | y, (F.col(name).isNotNull() for name in seen)))
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -83,7 +94,16 @@ def classify(ancestor: DataFrame, source: DataFrame, target: DataFrame) -> DataF
     none before: source_added, target_added, both_added_same, both_added_different
     one side gone: source_deleted, target_deleted, delete_modify_conflict, modify_delete_conflict; both: both_deleted
     """
-    t = _aligned({"anc": ancestor, "src": source, "tgt": target})
+    return outcomes(_aligned({"anc": ancestor, "src": source, "tgt": target}))
+
+
+def classify_log(log: DataFrame, ancestor: Column, source: Column, target: Column, alive: Column) -> DataFrame:
+    """As classify, of one log of which each of the three sees the rows of a condition."""
+    return outcomes(sides(log, {"anc": ancestor, "src": source, "tgt": target}, alive))
+
+
+def outcomes(t: DataFrame) -> DataFrame:
+    """Adds the outcome to KEY, anc, src and tgt."""
     same = lambda x, y: F.col(f"{x}.value").eqNullSafe(F.col(f"{y}.value"))
     no = lambda x: F.col(x).isNull()
     outcome = (
@@ -106,10 +126,17 @@ def classify(ancestor: DataFrame, source: DataFrame, target: DataFrame) -> DataF
 
 
 CONFLICTS = ["conflict", "both_added_different", "delete_modify_conflict", "modify_delete_conflict"]
+#: Outcomes at which a merge puts the source's cell, and at which it deletes the key.
+TAKES = ["source_added", "source_changed", *CONFLICTS[:2], "modify_delete_conflict"]
+GIVES_UP = ["source_deleted", "delete_modify_conflict"]
 
 
 def three_way_diff(ancestor: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    return classify(ancestor, source, target).where("outcome <> 'unchanged'").select(
+    return changes(classify(ancestor, source, target))
+
+
+def changes(classified: DataFrame) -> DataFrame:
+    return classified.where("outcome <> 'unchanged'").select(
         *KEY, "outcome", F.col("anc.value").alias("ancestor_value"), F.col("src.value").alias("source_value"), F.col("tgt.value").alias("target_value")
     )
 
@@ -123,15 +150,26 @@ def merge_actions(classified: DataFrame) -> DataFrame:
 
     JSON documents that both sides changed are merged value by value, the source winning below that.
     """
-    takes = ["source_added", "source_changed", *CONFLICTS[:2], "modify_delete_conflict"]
-    rows = classified.where(F.col("outcome").isin([*takes, "source_deleted", "delete_modify_conflict"]))
-    action = F.when(F.col("outcome").isin(takes), "put").otherwise("delete")
+    rows = classified.where(F.col("outcome").isin([*TAKES, *GIVES_UP]))
+    action = F.when(F.col("outcome").isin(TAKES), "put").otherwise("delete")
     plain = rows.select(*KEY, "outcome", action.alias("action"), "src.*", F.col("anc.value").alias("anc"), F.col("tgt.value").alias("tgt"))
-    both = (F.col("type_tag") == "json") & F.col("outcome").isin("conflict", "both_added_different")
+    both = _both_wrote_documents()
     simple = plain.where(~both).select(*KEY, "action", *CELL)
     return simple.unionByName(_merge_documents(plain.where(both)))
 
 
+def _both_wrote_documents() -> Column:
+    return (F.col("type_tag") == "json") & F.col("outcome").isin("conflict", "both_added_different")
+
+
+def merged(classified: DataFrame) -> DataFrame:
+    """The target's snapshot after the merge: KEY, value. As apply of merge_actions, without a join."""
+    both, takes = _both_wrote_documents(), F.col("outcome").isin(TAKES)
+    stays = F.col("tgt").isNotNull() & ~F.col("outcome").isin(GIVES_UP)
+    plain = classified.where(~both & (takes | stays)).select(*KEY, F.when(takes, F.col("src.value")).otherwise(F.col("tgt.value")).alias("value"))
+    return plain.unionByName(merge_actions(classified.where(both)).select(*KEY, "value"))
+
+
 def _merge_documents(rows: DataFrame) -> DataFrame:
     ship(rows.sparkSession)
 
@@ -179,10 +217,7 @@ def pick_actions(actions: DataFrame, spaces: list[str] | None = None, keys: list
 
 def revert(cells: DataFrame, first: int, last: int, alive: Column) -> DataFrame:
     """(KEY, action, CELL): takes back the versions first..last where the key is still as they left it."""
-    at = lambda rows: newest(rows).where(alive)
-    t = _aligned({
-        "before": at(cells.where(F.col("version") < first)), "after": at(cells.where(F.col("version") <= last)), "now": at(cells),
-    })
+    t = sides(cells, {"before": F.col("version") < first, "after": F.col("version") <= last, "now": F.lit(True)}, alive)
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
     rows = t.where(~same("before", "after") & same("after", "now"))
     action = F.when(F.col("before").isNull(), "delete").otherwise("put")

@@ -134,11 +134,16 @@ def fork_view(cells: DataFrame, lineage: list[tuple[str, int]], branch: str) ->
     lineage: (ancestor, fork version), nearest first. Every bound is also bounded by the nearer ones.
     Own rows come later than inherited ones, so the newest-version rule lets them shadow those.
     """
+    return cells.where(seen_by(lineage, branch)).withColumn("origin", F.col("branch")).withColumn("branch", F.lit(branch))
+
+
+def seen_by(lineage: list[tuple[str, int]], branch: str) -> Column:
+    """Whether a branch sees a row of the log; lineage as for fork_view."""
     seen, bound = [F.col("branch") == branch], None
     for parent, at in lineage:
         bound = at if bound is None else min(bound, at)
         seen.append((F.col("branch") == parent) & (F.col("version") <= bound))
-    return cells.where(reduce(lambda a, b: a | b, seen)).withColumn("origin", F.col("branch")).withColumn("branch", F.lit(branch))
+    return reduce(lambda a, b: a | b, seen)
 
 
 def own_entries(cells: DataFrame, branch: str, after: int) -> DataFrame:

@@ -20,6 +20,11 @@ def _three(spark, sf_dir):
     return cells.snapshot(main, version=0), cells.snapshot(cells.fork_view(log, [("main", 0)], "feature")), cells.snapshot(main)
 
 
+def _classified(spark, sf_dir):
+    main = F.col("branch") == "main"
+    return branching.classify_log(order_cells(spark, sf_dir), main & (F.col("version") <= 0), cells.seen_by([("main", 0)], "feature"), main, cells.alive(None))
+
+
 @query(f"{K} SELECT key, value FROM src")
 def branch_view(spark, sf_dir):
     return _three(spark, sf_dir)[1].select("key", "value")
@@ -62,12 +67,12 @@ def branch_retention(spark, sf_dir):
 
 @query(f"{K} SELECT key, outcome, a AS ancestor_value, b AS source_value, c AS target_value FROM k WHERE outcome <> 'unchanged'")
 def branch_diff3(spark, sf_dir):
-    return branching.three_way_diff(*_three(spark, sf_dir)).drop("space", "type_tag")
+    return branching.changes(_classified(spark, sf_dir)).drop("space", "type_tag")
 
 
 @query(f"{K} SELECT outcome, count(*) AS n FROM k GROUP BY 1")
 def branch_merge_outcomes(spark, sf_dir):
-    return branching.classify(*_three(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
+    return _classified(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(f"""{K} SELECT key, CASE WHEN outcome IN ('source_added', 'source_changed', 'conflict', 'both_added_different', 'modify_delete_conflict') THEN b ELSE c END AS value FROM k
@@ -80,7 +85,7 @@ def branch_merge_lww(spark, sf_dir):
 
 @query(f"{K} SELECT key, outcome FROM k WHERE outcome IN ('conflict', 'both_added_different', 'delete_modify_conflict', 'modify_delete_conflict')")
 def branch_merge_conflicts(spark, sf_dir):
-    return branching.conflicts(branching.classify(*_three(spark, sf_dir))).select("key", "outcome")
+    return branching.conflicts(_classified(spark, sf_dir)).select("key", "outcome")
 
 
 @query(f"{K} SELECT key, 'put' AS action, value FROM src WHERE key IN ('order:10', 'order:12', 'order:11', 'order:3n')")

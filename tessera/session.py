@@ -55,6 +55,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Estimated bytes of a task's part, where rows are sorted or joined by key.
+PART_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows by key to tasks in number proportional to the plan's estimated size, so that a task's part is bounded.
+
+    The engine joins small shuffle partitions by their compressed bytes, and so gave a task millions of like rows to sort.
+    Small inputs, and those that the plan knows no size of, stay as they are.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = -(-size // PART_BYTES)
+    if parts <= df.sparkSession.sparkContext.defaultParallelism or size >= 1 << 60:
+        return df
+    return df.repartition(min(parts, 20_000), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, unless they find it on their path as the driver does."""
     home = Path(__file__).resolve().parent
