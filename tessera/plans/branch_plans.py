@@ -79,8 +79,7 @@ def branch_merge_outcomes(spark, sf_dir):
 WHERE CASE WHEN outcome IN ('source_added', 'source_changed', 'conflict', 'both_added_different', 'modify_delete_conflict') THEN true
 WHEN outcome IN ('source_deleted', 'delete_modify_conflict') THEN false ELSE hc END""")
 def branch_merge_lww(spark, sf_dir):
-    anc, source, target = _three(spark, sf_dir)
-    return branching.apply(target, branching.merge(anc, source, target)).select("key", "value")
+    return branching.merged(_classified(spark, sf_dir)).select("key", "value")
 
 
 @query(f"{K} SELECT key, outcome FROM k WHERE outcome IN ('conflict', 'both_added_different', 'delete_modify_conflict', 'modify_delete_conflict')")
